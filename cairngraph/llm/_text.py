@@ -20,6 +20,9 @@ _WORD = np.zeros(256, dtype=bool)
 _WORD[128:] = True
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
     _WORD[_c] = True
+_CASED = _WORD.copy()
+for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+    _CASED[_c] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -100,6 +103,33 @@ class Words:
         self.row = np.repeat(np.arange(self.n_rows), self.counts)
 
 
+def cased_ranges(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the words of one text in its own case; their number and order are those of the lower-cased text."""
+    inside = _CASED[np.frombuffer(text, np.uint8)]
+    turn = np.flatnonzero(np.diff(np.r_[False, inside, False]))
+    return turn[::2], turn[1::2]
+
+
+def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the given ranges of words (first, end), from each first word's first to its last word's last byte."""
+    raw = text.encode()
+    start, end = cased_ranges(raw)
+    out, at = [], 0
+    for a, b in sorted(spans):
+        a, b = max(0, a), min(b, len(start))
+        if a < b and start[a] >= at:
+            out.append(raw[at : start[a]])
+            at = int(end[b - 1])
+        elif a < b:
+            at = max(at, int(end[b - 1]))
+    out.append(raw[at:])
+    return b"".join(out).decode()
+
+
+def has_words(text: str) -> bool:
+    return bool(len(cased_ranges(text.encode())[0]))
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Order-sensitive 64-bit hash of each k successive word hashes (len - k + 1 values)."""
     n = len(hashes) - k + 1
