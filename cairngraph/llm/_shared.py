@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,54 +12,29 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairngraph.functions import storage
+from cairngraph.functions.storage import remove, shared_dir
+
+__all__ = ["remove", "shared_dir"]
+
 #: Rows of ids, pairs or priors up to which a side of a join is broadcast (about 50 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Edges up to which one task finds the connected components; beyond it they are found by joins.
 LOCAL_EDGES = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d.rstrip("/")
-    jd = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jd.isDefined():
-        return jd.get().rstrip("/")
-    d = tempfile.mkdtemp(prefix="cairn-shared-")
-    atexit.register(shutil.rmtree, d, True)
-    spark.sparkContext.setCheckpointDir("file://" + d)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def tune(spark: SparkSession) -> None:
     """Bounds an Arrow batch by bytes, so that very long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     shared_dir(spark)
 
 
-class Scratch:
-    """Parquet tables in the shared folder that cut lineage; dropped when the operator no longer needs them."""
+class Scratch(storage.Scratch):
+    """Tables in the shared folder, for operators that run Python over texts."""
 
     def __init__(self, spark: SparkSession):
         tune(spark)
-        self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """A reliable checkpoint of a small result, then the tables go; Spark's cleaner removes it with the last use."""
-        kept = df.checkpoint(eager=True)
-        self.drop()
-        return kept
+        super().__init__(spark)
 
 
 def publish(spark: SparkSession, name: str, data: bytes) -> str:
