@@ -18,13 +18,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairngraph.llm._shared import local_file, publish, tune
+from cairngraph.llm._shared import Scratch, local_file, publish, tune
 from cairngraph.llm._text import buffers, mix64, plain, row_chunks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words in the transducer, the most frequent ones; the rest are merged. Bytes per chunk. Pieces a worker remembers.
-LEXICON_WORDS, CHUNK, REMEMBER = 1 << 17, 1 << 20, 400_000
+#: Words in the transducer, the most frequent ones; the rest are merged. Bytes per chunk. Pieces a worker remembers, and counts before it passes them on.
+LEXICON_WORDS, CHUNK, REMEMBER, COUNTED = 1 << 17, 1 << 18, 400_000, 100_000
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -303,7 +303,7 @@ def count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     old[1] += c
                 else:
                     counts[k] = [text[start[w] : end[w]], c]
-            if len(counts) > 500_000:
+            if len(counts) > COUNTED:
                 yield rows(counts)
                 counts = {}
     if counts:
@@ -311,10 +311,22 @@ def count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_pieces(docs: DataFrame, words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent pieces of all texts (ties: the smaller one first); their number is bounded by ``words``."""
+    """The pieces that occur at least c times in all texts, c the least count above 1 that at most ``words`` pieces reach.
+
+    Only counts of counts and the chosen pieces reach the driver, however many pieces there are.
+    """
+    scratch = Scratch(docs.sparkSession)
     counted = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(count_pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "piece").limit(words)
-    return [r.piece for r in top.select("piece").collect()]
+    repeated = scratch.table(counted.where("n > 1"), "pieces")
+    total, least = 0, None
+    for r in repeated.groupBy("n").agg(F.count("*").alias("pieces")).orderBy(F.col("n").desc()).limit(words).collect():
+        total += r["pieces"]
+        if total > words:
+            break
+        least = r["n"]
+    found = [] if least is None else [r.piece for r in repeated.where(F.col("n") >= least).select("piece").collect()]
+    scratch.drop()
+    return found
 
 
 def compile_frequent(docs: DataFrame, path: str = VOCABULARY, words: int = LEXICON_WORDS) -> str:
