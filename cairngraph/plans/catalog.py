@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from cairngraph.plans import analytics, core, streams
+from cairngraph.plans.registry import Query, Registry
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+@cache
+def registry() -> Registry:
+    r = Registry()
+    for module in (core, analytics, streams):
+        module.register(r)
+    return r
+
+
+def queries() -> dict[str, Query]:
+    return dict(registry().queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry().oracles)
