@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairngraph.llm._shared import Scratch, local_file, publish, tune
+from cairngraph.llm._shared import Scratch, local_file, publish, releasing, tune
 from cairngraph.llm._text import buffers, mix64, plain, row_chunks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -248,10 +248,11 @@ class Encoder:
 
 
 def _encoder(path: str, lexicon: str | None) -> Encoder:
-    key = ("encoder", path, lexicon)
-    if key not in _cache:
-        _cache[key] = Encoder(path, lexicon)
-    return _cache[key]
+    """The encoder of this worker; one for another lexicon takes its place, so a reused worker holds one only."""
+    if _cache.get("encoder key") != (path, lexicon):
+        _cache.pop("encoder", None)
+        _cache["encoder"], _cache["encoder key"] = Encoder(path, lexicon), (path, lexicon)
+    return _cache["encoder"]
 
 
 def encode_column(column: pa.Array, path: str = VOCABULARY, lexicon: str | None = None) -> pa.Array:
@@ -284,6 +285,7 @@ def encode_column(column: pa.Array, path: str = VOCABULARY, lexicon: str | None
     return pa.StructArray.from_arrays([lists, pa.array(np.concatenate(whole) if whole else np.zeros(0, bool))], names=["token_ids", "round_trip"])
 
 
+@releasing
 def count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(piece, n) of texts, partial counts of a task."""
 
@@ -348,6 +350,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, words: int = LEXICON_WORDS)
     tune(docs.sparkSession)
     lexicon = compile_frequent(docs, path, words)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = encode_column(batch.column(1), path, lexicon)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairngraph.llm._shared import Scratch, checked_join
+from cairngraph.llm._shared import Scratch, checked_join, releasing
 from cairngraph.llm._text import buffers, lower, row_chunks
 
 #: Labelled rows that the text model is fitted on at most (the least hashes of their ids), and the least rows a language needs.
@@ -136,6 +136,7 @@ def train(rows: DataFrame, key: str, text: Column, label: Column, limit: int = T
 
 
 def _tally(model: TextModel):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = lower(batch.column(0))

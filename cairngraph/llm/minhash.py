@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairngraph.llm._shared import Scratch, checked_join, components, repeated_ids
+from cairngraph.llm._shared import Scratch, checked_join, components, releasing, repeated_ids
 from cairngraph.llm._text import Words, lower, row_chunks, shingles
 
 SHINGLE, HASHES, BANDS, THRESHOLD, MISS, STEP = 3, 128, 32, 0.5, 0.01, 16
@@ -48,6 +48,7 @@ def min_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray((out.T & np.uint32(0xFFFF)).astype(np.uint16))
 
 
+@releasing
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to SIGNATURE; documents without words are left out."""
     for batch in batches:
@@ -133,6 +134,7 @@ def jaccard(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
 
 
 def _verifier(threshold: float):
+    @releasing
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairngraph.llm._shared import Scratch, checked_join, components, repeated_ids
+from cairngraph.llm._shared import Scratch, checked_join, components, releasing, repeated_ids
 from cairngraph.llm._text import Words, cut_words, grams, has_words, lower, mix64, plain, row_chunks
 from cairngraph.llm.decontaminate import replace_text
 from cairngraph.llm.rindex import RunLengthIndex, window_hashes
@@ -56,6 +56,7 @@ def winnow(words: Words, length: int, anchor: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _anchors(length: int, anchor: int):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, text = batch.column(0).to_numpy(zero_copy_only=False), lower(batch.column(1))
@@ -69,6 +70,7 @@ def _anchors(length: int, anchor: int):
     return run
 
 
+@releasing
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, segments) to (comp, doc_id, first, words), words as 64-bit hashes."""
     for batch in batches:
@@ -216,6 +218,7 @@ class Marker:
 
 
 def _marker(length: int, block: int):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marker = Marker(length, block)
 
