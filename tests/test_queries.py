@@ -24,21 +24,24 @@ def con(sf):
     return c
 
 
-def plain(frame):
-    cell = lambda v: str(round(v + 0.0, 5)) if isinstance(v, float) else str(v)
-    return sorted(tuple(cell(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False))
+def plain(columns, rows):
+    """Rows in the order of their columns' names; whole numbers and others are told apart."""
+    cell = lambda v: str(round(v + 0.0, 5)) if isinstance(v, float) else f"{type(v).__name__} {v}"
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, sf, con, name):
-    got = catalog.queries()[name](spark, sf).toPandas()
+    df = catalog.queries()[name](spark, sf)
+    got = df.collect()
     sql = catalog.oracle_sql().get(name)
     if sql is None:
-        assert len(got.columns)
+        assert df.columns
         return
-    want = con.sql(sql).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert plain(got) == plain(want)
+    want = con.sql(sql)
+    assert sorted(df.columns) == sorted(want.columns)
+    assert plain(df.columns, got) == plain(want.columns, want.fetchall())
 
 
 def test_entry(spark):
