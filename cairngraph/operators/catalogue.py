@@ -175,11 +175,11 @@ def impact_summary(impact: DataFrame) -> DataFrame:
 
 
 def ci_gate(graph: CodeGraph, unit_id=None, max_risk: float = 0.6, max_depth: int = 3, require_tests: bool = False) -> DataFrame:
-    """(root, overall_risk, untested, passed): units that nothing depends on pass."""
+    """(root, overall_risk, untested, passed): units that nothing depends on pass; risks are compared to nine digits."""
     s = impact_summary(impact_analysis(graph, unit_id, max_depth))
     roots = traverse.roots_of(graph, _roots(graph, unit_id))
     j = roots.join(s, "root", "left").select("root", F.coalesce("overall_risk", F.lit(0.0)).alias("overall_risk"), _n("untested").alias("untested"))
-    return j.withColumn("passed", (F.col("overall_risk") <= max_risk) & (F.lit(not require_tests) | (F.col("untested") == 0)))
+    return j.withColumn("passed", (F.round("overall_risk", 9) <= max_risk) & (F.lit(not require_tests) | (F.col("untested") == 0)))
 
 
 # -- 10, 20: tests ------------------------------------------------------------------------------------------------

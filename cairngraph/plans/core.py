@@ -146,7 +146,7 @@ def register(r: Registry) -> None:
     r.add("impact_analysis", g(lambda x: catalogue.impact_analysis(x)), oracle("root:l id:l depth:l risk:d has_tests:b", "SELECT * FROM impact", U, E, ctes=impact))
     r.add("impact_summary", g(lambda x: catalogue.impact_summary(catalogue.impact_analysis(x)).select("root", "impacted", "untested", "overall_risk")), oracle("root:l impacted:l untested:l overall_risk:d", "SELECT * FROM summed", U, E, ctes=impact))
     r.add("ci_gate", g(lambda x: catalogue.ci_gate(x)), oracle("root:l overall_risk:d untested:l passed:b", """
-        SELECT u.id AS root, coalesce(s.overall_risk, 0) AS overall_risk, coalesce(s.untested, 0) AS untested, coalesce(s.overall_risk, 0) <= 6e-1 AS passed FROM units u LEFT JOIN summed s ON s.root = u.id""", U, E, ctes=impact))
+        SELECT u.id AS root, coalesce(s.overall_risk, 0) AS overall_risk, coalesce(s.untested, 0) AS untested, round(coalesce(s.overall_risk, 0), 9) <= 6e-1 AS passed FROM units u LEFT JOIN summed s ON s.root = u.id""", U, E, ctes=impact))
 
     # -- 10, 20: tests
     r.add("test_coverage", g(lambda x: catalogue.test_coverage(x)), oracle("id:l direct:a indirect:a ratio:d", """
