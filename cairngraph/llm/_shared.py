@@ -22,8 +22,8 @@ __all__ = ["remove", "shared_dir"]
 
 #: Rows of ids, pairs or priors up to which a side of a join is broadcast (about 50 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Edges up to which one task finds the connected components; beyond it they are found by joins.
-LOCAL_EDGES = 4_000_000
+#: Edges up to which one task finds the connected components (some 300 MB of Python); beyond it they are found by joins.
+LOCAL_EDGES = 2_000_000
 
 
 def tune(spark: SparkSession) -> None:
