@@ -199,7 +199,7 @@ def identify(rows: DataFrame, evidence: Evidence, model: TextModel, least: float
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"{_PREFIX}d.{n}").alias(_PREFIX + n) for n in ("lang", "posterior", "accepted")])
 
 
-def identify_documents(docs: DataFrame, least: float = LEAST_POSTERIOR) -> DataFrame:
+def identify_documents(docs: DataFrame, least: float = LEAST_POSTERIOR, model: TextModel | None = None) -> DataFrame:
     """(doc_id, declared, lang, posterior, accepted) of every row of documents.
 
     Defined results: a text that is null, has no letter, or is less likely than chance in every language is 'und' with
@@ -207,19 +207,29 @@ def identify_documents(docs: DataFrame, least: float = LEAST_POSTERIOR) -> DataF
     evidence; ties go to the language that sorts first; rows that repeat are decided alike; a null doc_id stays null;
     a table without labelled rows is rejected whole; other columns are not read.
     """
-    model = train(docs, "doc_id", F.col("text"), F.lower("lang"))
+    model = model or train(docs, "doc_id", F.col("text"), F.lower("lang"))
     done = identify(docs.select("doc_id", "text", "lang", "source"), Evidence.of_documents(), model, least)
     return done.select(F.col("doc_id").cast("long"), F.col("lang").alias("declared"), *[F.col(_PREFIX + n).alias(n) for n in ("lang", "posterior", "accepted")])
 
 
-def identify_pages(pages: DataFrame, docs: DataFrame, least: float = LEAST_POSTERIOR) -> DataFrame:
+def identify_pages(pages: DataFrame, docs: DataFrame, least: float = LEAST_POSTERIOR, model: TextModel | None = None) -> DataFrame:
     """(page_id, url, declared, lang, posterior, accepted) of every page, by the text model of the labelled documents."""
-    model = train(docs, "doc_id", F.col("text"), F.lower("lang"))
+    model = model or train(docs, "doc_id", F.col("text"), F.lower("lang"))
     evidence = Evidence.of_pages()
     done = identify(pages.select("page_id", "url", "html"), evidence, model, least)
     return done.select("page_id", "url", evidence.declared.alias("declared"), *[F.col(_PREFIX + n).alias(n) for n in ("lang", "posterior", "accepted")])
 
 
+def identify_all(docs: DataFrame, pages: DataFrame, least: float = LEAST_POSTERIOR) -> DataFrame:
+    """(doc_id, page_id, url, declared, lang, posterior, accepted) of every row of both tables, by one text model.
+
+    A document has no page_id and url, a page no doc_id.
+    """
+    model = train(docs, "doc_id", F.col("text"), F.lower("lang"))
+    both = identify_documents(docs, least, model).unionByName(identify_pages(pages, docs, least, model), allowMissingColumns=True)
+    return both.select("doc_id", "page_id", "url", "declared", "lang", "posterior", "accepted")
+
+
 def keep_identified(docs: DataFrame, least: float = LEAST_POSTERIOR) -> DataFrame:
     """The rows of documents whose language is identified; columns stay as they are."""
     model = train(docs, "doc_id", F.col("text"), F.lower("lang"))

@@ -19,7 +19,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify_documents(table(spark, sf_dir, "documents"))
+    return langid.identify_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
 def op3_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
