@@ -19,15 +19,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairngraph.llm._shared import Scratch, checked_join, releasing
 from cairngraph.llm._text import buffers, lower, row_chunks
 
-#: Labelled rows that the text model is fitted on at most (the least hashes of their ids), and the least rows a language needs.
-TRAIN_ROWS, LEAST_ROWS = 6000, 10
+#: Ids of each label whose rows the text model is fitted on at most (those of the least hashes).
+TRAIN_ROWS = 6000
 BUCKETS = 1 << 16
 #: Weight of the text's log-likelihood (trigrams overlap, so they aren't independent), least posterior, strength of the
 #: smoothing of a host towards its suffix and of a suffix towards all, and of the confusion matrix.
@@ -120,13 +120,18 @@ class TextModel:
 
 
 def train(rows: DataFrame, key: str, text: Column, label: Column, limit: int = TRAIN_ROWS) -> TextModel:
-    """Fits the trigram model on at most ``limit`` labelled rows, those of the smallest hashes of their key."""
-    labelled = rows.select(F.col(key).alias("k"), text.alias("t"), label.alias("l")).where("k is not null and t is not null and l <> ''")
-    chosen = labelled.select("k", F.xxhash64("k").alias("h")).orderBy("h", "k").limit(limit).select("k").distinct()
-    sample = labelled.join(F.broadcast(chosen), "k", "left_semi")
+    """Fits the trigram model on at most ``limit`` ids of each label, those of the smallest hashes; every label is modelled."""
+    labelled = rows.select(F.xxhash64(key).alias("h"), text.alias("t"), label.alias("l")).where(F.col(key).isNotNull() & F.col("t").isNotNull() & (F.col("l") != ""))
+    # the hashes are uniform, so about 2 limit ids of a label lie below the rough bound, and only those are sorted
+    scratch = Scratch(rows.sparkSession)
+    rough = scratch.keep(labelled.groupBy("l").agg(F.count("*").alias("n"), F.min("h").alias("low")))
+    below = (F.col("h") / float(2**64) + 0.5) * F.col("n") <= 2.0 * limit
+    near = checked_join(labelled.select("h", "l"), rough, "l", "inner").where(below | (F.col("h") == F.col("low"))).select("l", "h").distinct()
+    bound = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= limit).groupBy("l").agg(F.max("h").alias("bound"))
+    bound = scratch.keep(bound)
+    sample = checked_join(labelled, bound, "l", "inner").where("h <= bound")
     counted = sample.select("l", "t").mapInArrow(_count_trigrams, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    per_lang = {r["l"]: r["n"] for r in sample.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(x for x, n in per_lang.items() if n >= min(LEAST_ROWS, max(per_lang.values())))
+    languages = sorted(r["l"] for r in bound.select("l").collect())
     counts = np.zeros((len(languages), BUCKETS))
     for k, x in enumerate(languages):
         own = counted[counted.lang == x]
@@ -169,9 +174,10 @@ def identify(rows: DataFrame, evidence: Evidence, model: TextModel, least: float
     prior = F.array(*[F.log((F.col(f"n{i}") + HOST_STRENGTH * F.col(f"s{i}")) / (sum(F.col(f"n{j}") for j in range(k)) + HOST_STRENGTH)) for i in range(k)])
     priors = host.select(F.col("host").alias(_PREFIX + "host"), F.col("suffix").alias(_PREFIX + "suffix"), prior.alias(_PREFIX + "prior"))
     # P(declared | best): what a language's rows declare; smoothed towards what all rows declare
-    said = {r["declared"]: r for r in tally.groupBy("declared").agg(*n_of, F.sum("n").alias("n")).orderBy(F.col("n").desc(), "declared").limit(4096).collect()}
-    every, per = sum(r["n"] for r in said.values()) + 1.0, np.array([total[i] for i in range(k)])
-    declared = {d: np.log((np.array([r[f"n{i}"] for i in range(k)]) + DECLARED_STRENGTH * r["n"] / every) / (per + DECLARED_STRENGTH)) for d, r in said.items() if d}
+    every = float(tally.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) + 1.0
+    said = tally.where("declared <> ''").groupBy("declared").agg(*n_of, F.sum("n").alias("n"))
+    likely = F.array(*[F.log((F.col(f"n{i}") + DECLARED_STRENGTH * F.col("n") / every) / (float(total[i]) + DECLARED_STRENGTH)) for i in range(k)])
+    said = said.select(F.col("declared").alias(_PREFIX + "declared"), likely.alias(_PREFIX + "said")).checkpoint(eager=True)
     priors = scratch.keep(priors)
     languages, weights = model.languages, model.weights
 
@@ -182,7 +188,7 @@ def identify(rows: DataFrame, evidence: Evidence, model: TextModel, least: float
         known = (size > 0) & (scores.max(1, initial=-np.inf) > FLOOR * size)
         none = np.zeros(len(languages))
         evidence = TEXT_WEIGHT * scores
-        evidence += np.array([declared.get(d, none) if d else none for d in said.to_pylist()]).reshape(-1, len(languages))
+        evidence += np.array([none if d is None else d for d in said.to_pylist()]).reshape(-1, len(languages))
         evidence += np.array([np.log(base) if p is None else p for p in prior.to_pylist()]).reshape(-1, len(languages))
         evidence -= evidence.max(1, keepdims=True, initial=-1e300)
         p = np.exp(evidence)
@@ -194,8 +200,8 @@ def identify(rows: DataFrame, evidence: Evidence, model: TextModel, least: float
 
     kept = {n: _PREFIX + n for n in ("text", "declared", "host", "suffix")}
     wide = rows.withColumns({kept[n]: named[n] for n in kept})
-    joined = checked_join(wide, priors, [kept["host"], kept["suffix"]], "left")
-    out = joined.withColumn(_PREFIX + "d", decide.asNondeterministic()(kept["text"], kept["declared"], _PREFIX + "prior"))
+    joined = checked_join(checked_join(wide, priors, [kept["host"], kept["suffix"]], "left"), said, kept["declared"], "left")
+    out = joined.withColumn(_PREFIX + "d", decide.asNondeterministic()(kept["text"], _PREFIX + "said", _PREFIX + "prior"))
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"{_PREFIX}d.{n}").alias(_PREFIX + n) for n in ("lang", "posterior", "accepted")])
 
 

@@ -15,8 +15,8 @@ from cairngraph.llm._text import lower
 EN, DE, BOTH = "the house and the garden with water ", "der hund und die katze nicht haben ", "anna otto bob "
 
 
-def brute(rows, model, declared_strength=langid.DECLARED_STRENGTH):
-    """[(language, posterior)] of (text, declared, host, suffix) rows."""
+def brute(rows, model, first=0):
+    """[(language, posterior)] of (text, declared, host, suffix) rows, from the ``first`` on."""
     languages, k = model.languages, len(model.languages)
     scores, size = langid.text_scores(lower(pa.array([r[0] for r in rows], pa.string())), model.weights)
     best = [int(s.argmax()) if n else None for s, n in zip(scores, size, strict=True)]
@@ -32,10 +32,10 @@ def brute(rows, model, declared_strength=langid.DECLARED_STRENGTH):
 
     def said(d):
         own = [b for r, b in seen if r[1] == d]
-        return [math.log((own.count(i) + declared_strength * len(own) / (n + 1)) / (total[i] + declared_strength)) if d and own else 0.0 for i in range(k)]
+        return [math.log((own.count(i) + langid.DECLARED_STRENGTH * len(own) / (n + 1)) / (total[i] + langid.DECLARED_STRENGTH)) if d and own else 0.0 for i in range(k)]
 
     out = []
-    for r, s, m in zip(rows, scores, size, strict=True):
+    for r, s, m in list(zip(rows, scores, size, strict=True))[first:]:
         x = [langid.TEXT_WEIGHT * s[i] + a + b for i, (a, b) in enumerate(zip(prior(*r[2:]), said(r[1]), strict=True))]
         p = [math.exp(v - max(x)) for v in x]
         known = m > 0 and s.max() > langid.FLOOR * m
@@ -69,3 +69,23 @@ def test_every_page_and_document(spark, tmp_path):
     found = {r["doc_id"]: (r["lang"], r["posterior"]) for r in got if r["doc_id"] is not None}
     for (i, *_), (name, p) in zip(docs, want, strict=True):
         assert found[i][0] == name and abs(found[i][1] - p) < 1e-9
+
+
+def test_rare_languages_are_modelled(spark):
+    """A language that a sample over all rows hardly holds is modelled like any other."""
+    ru = "этот дом и сад с водой не для нас "
+    rows = [(i, EN * 2, "en", "a.com") for i in range(40000)] + [(50000 + i, ru * 3, "ru", "b.ru") for i in range(12)] + [(60000, DE * 5, "de", "c.de")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert langid.train(d, "doc_id", F.col("text"), F.lower("lang")).languages == ["de", "en", "ru"]
+    got = {r["doc_id"]: (r["lang"], r["accepted"]) for r in langid.identify_documents(d).where("doc_id >= 50000").collect()}
+    assert len(got) == 13 and all(x == (("de" if i == 60000 else "ru"), True) for i, x in got.items())
+
+
+def test_rare_declarations_are_evidence(spark):
+    """What a language rarely declares counts, however many declarations are more frequent."""
+    rows = [(i, (EN if i % 2 else DE) * 3, f"x{i // 2}", None) for i in range(10000)] + [(20000 + i, DE * 3, "zz", None) for i in range(1)] + [(30000, BOTH, "zz", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, said string, source string")
+    model = langid.train(d.withColumn("lang", F.when(F.col("text").contains("hund"), "de").otherwise("en")), "doc_id", F.col("text"), F.col("lang"))
+    got = langid.identify(d, langid.Evidence(F.col("text"), F.col("said")), model).where("doc_id = 30000").first()
+    want = brute([(t, s, "", "") for _, t, s, _ in rows], model, len(rows) - 1)[-1]
+    assert got["__cairn_lang"] == want[0] and abs(got["__cairn_posterior"] - want[1]) < 1e-9
