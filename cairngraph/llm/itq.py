@@ -5,7 +5,9 @@
    quantisation); every rotation gives a code of as many balanced bits as there are dimensions.
 2. The codes are cut into substrings, each the key of one Hamming table.  Their width follows the number of vectors
    (about one vector in a bucket) and their number is such that a pair at the threshold shares a bucket with the wanted
-   recall, closer pairs with more.
+   recall, closer pairs with more.  As the codes are of centred vectors and the threshold is of raw ones, the share is
+   measured: every vector gets a partner at the threshold, and random rotations are added until enough of them are
+   found; where that takes more tables than comparing all pairs does work, all pairs are compared.
 3. In each bucket every member is paired with a leader that differs from table to table; pairs pass the Hamming
    distance of their whole codes, then the cosine of their own vectors.  Pairs of a bucket that are in different groups
    after that are compared too.  So every pair that shares a bucket is decided or already connected, and a group of n
@@ -107,6 +109,45 @@ def learn(vectors: DataFrame, dim: int, rotations: int, rounds: int = ROUNDS) ->
     return mean, np.stack([axes @ r for r in turn])
 
 
+def _partners(x: np.ndarray, threshold: float) -> np.ndarray:
+    """For each unit vector one at the cosine ``threshold``, in a direction that depends on the vector alone."""
+    noise = np.random.default_rng(11).standard_normal((1024, x.shape[1]))
+    z = noise[np.ascontiguousarray(x, np.float32).view(np.uint32).sum(1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)]
+    z = z - (z * x).sum(1, keepdims=True) * x
+    norm = np.linalg.norm(z, axis=1, keepdims=True)
+    return threshold * x + math.sqrt(1 - threshold * threshold) * z / np.maximum(norm, 1e-12)
+
+
+def measure(vectors: DataFrame, mean: np.ndarray, projections: np.ndarray, bits: int, per_code: int, threshold: float) -> tuple[np.ndarray, float, float]:
+    """(share of partners found by the first 1, 2 .. rotations, mean and deviation of the bits in which they differ)."""
+    rotations = len(projections)
+
+    def partial(x: np.ndarray) -> np.ndarray:
+        a, b = x - mean, _partners(x, threshold) - mean
+        found, flips, out = np.zeros(len(x), bool), np.zeros(len(x)), np.zeros(3 + rotations)
+        for r, p in enumerate(projections):
+            differ = (a @ p > 0) != (b @ p > 0)
+            flips += differ.sum(1)
+            for k in range(per_code):
+                found |= ~differ[:, k * bits : (k + 1) * bits].any(1)
+            out[3 + r] = found.sum()
+        out[:3] = len(x), flips.sum(), (flips * flips).sum()
+        return out
+
+    s = _summed(vectors, partial, 3 + rotations)
+    n = max(1.0, s[0])
+    return s[3:] / n, s[1] / n, math.sqrt(max(0.0, s[2] / n - (s[1] / n) ** 2))
+
+
+def more_rotations(share: np.ndarray, recall: float) -> int:
+    """Rotations that the wanted recall takes, carried on from the shares found so far; at most four times as many."""
+    have = len(share)
+    half = have // 2
+    missed, before = 1 - share[-1], 1 - share[half - 1] if half else 1.0
+    rate = math.log(max(before, 1e-9) / max(missed, 1e-9)) / (have - half)
+    return min(4 * have, have + max(1, math.ceil(math.log(missed / (1 - recall)) / rate))) if rate > 1e-9 else 4 * have
+
+
 def _coder(mean: np.ndarray, projections: np.ndarray, bits: int, per_code: int):
     weights = (1 << np.arange(bits)).astype(np.int64)
 
@@ -125,9 +166,15 @@ def _coder(mean: np.ndarray, projections: np.ndarray, bits: int, per_code: int):
     return run
 
 
-def _rerank(threshold: float, total_bits: int):
-    rate = flip_rate(threshold)
-    most = math.ceil(total_bits * rate + 5 * math.sqrt(total_bits * rate * (1 - rate)))
+def _all_pairs(n: int, block: int = 1000):
+    """Keys of a vector: the pairs of blocks that hold its own, so that any two vectors share one."""
+    blocks = max(1, math.ceil(n / block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), lambda other: F.least(own, other) * blocks + F.greatest(own, other))
+
+
+def _rerank(threshold: float, most: int):
+    """Keeps pairs whose codes differ in at most ``most`` bits and whose cosine reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,12 +211,26 @@ def near_groups(embeddings: DataFrame, threshold: float = THRESHOLD, recall: flo
     same = unit.groupBy("v").agg(F.min("id").alias("a"), F.collect_list("id").alias("ids")).where(F.size("ids") > 1)
     copies = scratch.table(same.select("a", F.explode("ids").alias("b")).where("a < b"), "copies")
     single = checked_join(unit, copies.select(F.col("b").alias("id")), "id", "left_anti")
-    bits, per_code, rotations = tables_for(single.count(), dim, threshold, recall)
+    n = single.count()
+    bits, per_code, rotations = tables_for(n, dim, threshold, recall)
     mean, projections = learn(single, dim, rotations)
+    share, flips, spread = measure(single, mean, projections, bits, per_code, threshold)
+    rng, every = np.random.default_rng(8), False
+    while n and share[-1] < recall and not every:
+        wanted = more_rotations(share, recall)
+        every = wanted * per_code > n / 4  # then comparing all pairs is less work
+        if not every:
+            turns = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(wanted - len(projections))]
+            projections = np.concatenate([projections, np.stack(turns)])
+            share, flips, spread = measure(single, mean, projections, bits, per_code, threshold)
+    rate, total = flip_rate(threshold), len(projections) * dim
+    most = total if every else math.ceil(max(total * rate + 5 * math.sqrt(total * rate * (1 - rate)), flips + 5 * spread))
     coded = scratch.table(single.mapInArrow(_coder(mean, projections, bits, per_code), "id long, v array<float>, code binary, keys array<long>"), "coded")
 
     in_bucket = Window.partitionBy("bucket")
     keyed = coded.select("id", F.posexplode("keys").alias("t", "k")).select("id", F.xxhash64("t", "k").alias("bucket"))
+    if every:
+        keyed = coded.select("id", F.explode(_all_pairs(n)).alias("bucket"))
     members = keyed.select("bucket", "id", F.count("*").over(in_bucket).alias("n"), F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id")).over(in_bucket)["id"].alias("leader")).where("n > 1")
     members = scratch.table(members.select("bucket", "id", "leader"), "members")
     star = members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
@@ -177,7 +238,7 @@ def near_groups(embeddings: DataFrame, threshold: float = THRESHOLD, recall: flo
     def compare(pairs: DataFrame) -> DataFrame:
         side = lambda c: coded.select(F.col("id").alias(c), F.col("code").alias(f"code_{c}"), F.col("v").alias(f"v_{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "code_a", "code_b", "v_a", "v_b")
-        return scratch.table(both.mapInArrow(_rerank(threshold, rotations * dim), "a long, b long, cosine double"), "near")
+        return scratch.table(both.mapInArrow(_rerank(threshold, most), "a long, b long, cosine double"), "near")
 
     first = compare(star)
     label = components(first, scratch)

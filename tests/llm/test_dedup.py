@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -242,3 +243,20 @@ def test_embedding_cases(spark):
     df = spark.createDataFrame([(*r, 5, "x") for r in rows], "vec_id long, embedding array<float>, id long, v string")
     assert {(r["vec_id"], r["group_id"], r["group_size"]) for r in itq.near_groups(df).collect()} == {(1, 1, 2), (2, 1, 2)}
     assert itq.near_groups(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("norm", [0.8, 0.88])
+def test_embeddings_of_a_common_mean(spark, norm):
+    """Near copies are found where all vectors share a strong component, so that centred ones lie further apart."""
+    rng = np.random.default_rng(5)
+    own = rng.standard_normal((1200, 64))
+    own[:, 0] = 0
+    base = math.sqrt(1 - norm**2) * own / np.linalg.norm(own, axis=1, keepdims=True)
+    base[:, 0] = norm
+    noise = rng.standard_normal((400, 64))
+    noise -= (noise * base[:400]).sum(1, keepdims=True) * base[:400]
+    cosine = rng.uniform(0.9, 0.95, (400, 1)) + 1e-4
+    near = cosine * base[:400] + np.sqrt(1 - cosine**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))], "vec_id long, embedding array<float>")
+    got = group_rows(itq.near_groups(df), "vec_id")
+    assert np.mean([got.get(i) is not None and got.get(i) == got.get(1200 + i) for i in range(400)]) >= 0.9
