@@ -2,7 +2,7 @@
 
 Training words are streamed through the automaton, which gives the longest suffix that occurs in an item at every
 word.  Maximal matches are removed if they exceed the length limit, or if those of one item together exceed the
-coverage limit.  Only texts that hold at least one run of LEAST words of an item are streamed (no shorter match can
+coverage limit; a word counts for every item that holds its run of LEAST words.  Only texts that hold at least one run of LEAST words of an item are streamed (no shorter match can
 count), which array operations find; the others pass through unchanged.
 """
 
@@ -37,7 +37,9 @@ class Automaton:
         self.item: list[int] = [-1]
         self.item_id: list[int | None] = []
         self.item_words: list[int] = []
+        self.sequences: list[list[int]] = []
         self.grams = np.zeros(0, np.uint64)
+        self.holders, self.holders_from = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _state(self, length: int, nxt: dict[int, int], link: int) -> int:
         self.next.append(nxt)
@@ -90,7 +92,11 @@ class Automaton:
                     self.item[t] = k
                     t = self.link[t]
         runs = [grams(np.array(x, np.uint64), LEAST) for x in sequences]
-        self.grams = np.unique(np.concatenate(runs)) if runs else self.grams
+        if runs:
+            pairs = np.unique(np.rec.fromarrays([np.concatenate(runs), np.repeat(np.arange(len(runs), dtype=np.int32), [len(r) for r in runs])], names="run,item"))
+            self.grams, first = np.unique(pairs["run"], return_index=True)
+            self.holders, self.holders_from = np.ascontiguousarray(pairs["item"]), np.r_[first, len(pairs)]
+        self.sequences = sequences
 
     def matches(self, words: list[int]) -> list[tuple[int, int, int]]:
         """(first, end, item) of the maximal matches of at least LEAST words."""
@@ -110,13 +116,44 @@ class Automaton:
             out.append((len(words) - length, len(words), self.item[state]))
         return out
 
+    def covered(self, words: list[int], coverage: float) -> list[int]:
+        """The items of whose words the text holds at least that share, in runs of LEAST words; the shortest first.
+
+        A word lies in a match of an item just if a run of LEAST words around it is one of the item's.
+        """
+        g = grams(np.array(words, np.uint64), LEAST)
+        pos = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
+        at = np.flatnonzero(self.grams[pos] == g)
+        if not len(at):
+            return []
+        low, high = self.holders_from[pos[at]], self.holders_from[pos[at] + 1]
+        size = high - low
+        item = self.holders[np.repeat(low - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+        where = np.repeat(at, size)
+        order = np.lexsort((where, item))
+        item, where = item[order], where[order]
+        # each run adds the words that the run before it, of the same item, doesn't reach
+        new = np.full(len(item), LEAST)
+        same = item[1:] == item[:-1]
+        new[1:][same] = np.minimum(LEAST, np.diff(where)[same])
+        count = np.bincount(item, new).astype(np.int64)
+        found = [k for k in np.flatnonzero(count).tolist() if min(count[k], self.item_words[k]) >= coverage * self.item_words[k]]
+        return sorted(found, key=lambda k: (self.item_words[k], k))
+
+    def single(self, k: int) -> Automaton:
+        """The automaton of one item."""
+        one = Automaton()
+        one.add(self.item_id[k], self.sequences[k])
+        return one
+
     def leaks(self, words: list[int], length: int, coverage: float) -> list[tuple[int, int, int]]:
-        """The matches that exceed a limit."""
-        found = self.matches(words)
-        covered: dict[int, set[int]] = defaultdict(set)
-        for a, b, k in found:
-            covered[k].update(range(a, b))
-        return [(a, b, k) for a, b, k in found if b - a >= length or min(len(covered[k]), self.item_words[k]) >= coverage * self.item_words[k]]
+        """The matches that exceed a limit; those of an item that exceeds the coverage limit unless they lie in another's."""
+        found = {(a, b): k for a, b, k in self.matches(words) if b - a >= length}
+        for k in self.covered(words, coverage):
+            for a, b, _ in self.single(k).matches(words):
+                if not any(c <= a and b <= d for c, d in found):
+                    found[a, b] = k
+        return sorted((a, b, k) for (a, b), k in found.items())
 
 
 def build(items: list[tuple[int | None, str | None]]) -> Automaton:
@@ -181,8 +218,8 @@ def leaks_of(column: pa.Array, handles: list[str], length: int, coverage: float)
 def find_leaks(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, first_word, end_word, n_words, item_words) of the spans of each document that are removed.
 
-    Words are counted from 0 in the normalised text.  Of several items that hold a span, the shortest (then first) is
-    named.  Defined results: null and empty texts and items match nothing; items of fewer than five words are
+    Words are counted from 0 in the normalised text.  Of several items to which a span leaks, the shortest (then first)
+    is named; a span within another that is removed isn't repeated.  Defined results: null and empty texts and items match nothing; items of fewer than five words are
     ignored; repeated rows are each reported; a null doc_id stays null; an empty table on either side gives no rows;
     other columns are not read.
     """

@@ -231,6 +231,30 @@ def test_leaks(spark, docs, rng, make_prose):
         assert words_of(left.get(i, "")) == keep and (i in want or left[i] == t)
 
 
+def test_shared_phrases_count_for_every_item(spark, docs):
+    """Each item's coverage is its own, whichever other items hold the same words."""
+    a, b = [f"a{i}" for i in range(20)], [f"b{i}" for i in range(15)]
+    b[:6] = a[:6]
+    c = ["c0", "c1", *a[14:20], *[f"c{i}" for i in range(30)]]
+    bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "item_id long, text string")
+    rows = [(1, ["x", *a[:6], "y", *a[9:15], "z"]), (2, ["x", *a[:6], "y", "z"]), (3, ["x", *c[:8], "y", *a[:5], "z"]), (4, ["x", *a[:5], "y", *c[:8]])]
+    d = docs([(i, " ".join(w)) for i, w in rows])
+    got = sorted((r["doc_id"], r["first_word"], r["end_word"], r["item_id"]) for r in decontaminate.find_leaks(d, bench).collect())
+    want = []
+    for i, w in rows:  # words in runs of LEAST words, item by item
+        for k, item in ((1, a), (2, b), (3, c)):
+            n = decontaminate.LEAST
+            runs = {tuple(item[j : j + n]) for j in range(len(item) - n + 1)}
+            hit = {x for j in range(len(w) - n + 1) if tuple(w[j : j + n]) in runs for x in range(j, j + n)}
+            if len(hit) >= decontaminate.COVERAGE * len(item):
+                want.append((i, k, hit))
+    assert {(i, k) for i, k, _ in want} == {(1, 1), (3, 1), (4, 1)}
+    assert all(any(g[0] == i and g[1] <= x < g[2] for g in got) for i, _, hit in want for x in hit)
+    assert got == [(1, 1, 7, 1), (1, 8, 14, 1), (3, 1, 9, 3), (3, 10, 15, 1), (4, 1, 6, 1), (4, 7, 15, 3)]
+    left = {r["doc_id"]: r["text"].split() for r in decontaminate.remove_leaks(d, bench).collect()}
+    assert left[1] == ["x", "y", "z"] and left[2] == rows[1][1] and left[3] == ["x", "y", "z"] and left[4] == ["x", "y"]
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_leak_cases(spark, docs, make_prose, extra):
     item = make_prose(12)
