@@ -22,20 +22,29 @@ from cairngraph.llm._shared import tune
 #: lines below it that may lie between two lines of one cluster.
 SIGMA, SHARE, GAP = 1.0, 1.0, 3
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select table tbody td tfoot th thead title tr ul".split())
-_SKIPPED = frozenset("script style noscript template head nav footer aside form select button svg iframe".split())
+_SKIPPED = frozenset("script style noscript template head nav footer aside select button svg iframe".split())
+#: What a head may hold, any other tag ends it; skipped elements whose text counts if they have no end of their own.
+_IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
+_LAYOUT = frozenset("nav footer aside select button".split())
 _BLANKS = re.compile(r"\s+")
 
 
 class LineParser(HTMLParser):
-    """Gathers (text, tags) lines; text inside skipped elements doesn't count, their tags do."""
+    """Gathers (text, tags) lines; text inside skipped elements doesn't count, their tags do.
 
-    def __init__(self) -> None:
+    ``shown`` are the numbers of the skipped elements whose text counts all the same; ``unclosed`` gathers those that
+    another element's end or the page's ends.
+    """
+
+    def __init__(self, shown: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.shown, self.unclosed = shown, set()
+        self.seen = 0
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.parts: list[str] = []
         self.count = 0
-        self.hidden: list[str] = []
+        self.hidden: list[tuple[str, int]] = []
 
     def line(self) -> None:
         if self.parts or self.count:
@@ -44,11 +53,15 @@ class LineParser(HTMLParser):
             self.parts, self.count = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.hidden and self.hidden[-1][0] == "head" and tag not in _IN_HEAD:
+            self.hidden.pop()
         if tag in _BLOCK:
             self.line()
         self.count += 1
         if tag in _SKIPPED:
-            self.hidden.append(tag)
+            self.seen += 1
+            if self.seen not in self.shown:
+                self.hidden.append((tag, self.seen))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in _BLOCK:
@@ -57,9 +70,9 @@ class LineParser(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.count += 1
-        if self.hidden and tag in self.hidden:
-            while self.hidden and self.hidden.pop() != tag:
-                pass
+        if any(t == tag for t, _ in self.hidden):
+            while (top := self.hidden.pop())[0] != tag:
+                self.unclosed.add(top)
         if tag in _BLOCK:
             self.line()
 
@@ -104,12 +117,19 @@ def content_lines(texts: list[str], tags: list[int], sigma: float = SIGMA, share
     return [t for t, k in zip(texts, kept, strict=True) if k]
 
 
-def extract(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> tuple[str, int, int]:
-    """(content, lines of text, lines kept) of one page."""
-    parser = LineParser()
-    parser.feed(html or "")
+def _parsed(html: str, shown: frozenset[int] = frozenset()) -> LineParser:
+    parser = LineParser(shown)
+    parser.feed(html)
     parser.close()
     parser.line()
+    return parser
+
+
+def extract(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> tuple[str, int, int]:
+    """(content, lines of text, lines kept) of one page."""
+    parser = _parsed(html or "")
+    if shown := frozenset(n for t, n in parser.unclosed.union(parser.hidden) if t in _LAYOUT):
+        parser = _parsed(html or "", shown)
     texts = [_BLANKS.sub(" ", t).strip() for t in parser.texts]
     # a line without text only adds its tags to the next one, so that deep nesting doesn't thin out the text
     lines, tags, waiting = [], [], 0

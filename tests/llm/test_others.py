@@ -123,6 +123,15 @@ def test_odd_pages(page):
     assert html.extract(page) == (text, lines, kept)
 
 
+@pytest.mark.parametrize("around", ["<html><head><title>t</title><body>%s</body></html>", "<body><nav><a>Home</a>%s</body>", "<body><div><button>Go</div>%s</body>", "<body><select><option>a%s", "<body><form action=x>%s</form></body>", "<body><nav><button>x</nav>%s</body>"])
+def test_omitted_ends(around):
+    """An omitted end tag, or a form around the page, hides no text."""
+    body = "<p>" + "A long sentence of the article. " * 9 + "</p>"
+    text = html.extract(around % (body * 3))[0]
+    assert text.count("A long sentence") == 27 and "t\n" not in text
+    assert "Home" not in html.extract("<head><title>t</title><body><nav><a>Home</a></nav>" + body)[0]
+
+
 def test_plain_text_stays():
     assert html.extract("plain text only")[0] == "plain text only"
 
