@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,19 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir; where it is unset, one of our own on a local master, an error on a cluster."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
-        return d.rstrip("/")
+        return _with_scheme(spark, d)
     jd = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jd.isDefined():
         return jd.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     d = tempfile.mkdtemp(prefix="cairn-shared-")
     atexit.register(shutil.rmtree, d, True)
     spark.sparkContext.setCheckpointDir("file://" + d)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _with_scheme(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that a path without one belongs to."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return str(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()).rstrip("/")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder of any file system that Spark reads."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
