@@ -1,13 +1,16 @@
 """Vectorised word, shingle and hash kernels over Arrow string columns.
 
-A word is a maximal run of ASCII letters, ASCII digits and non-ASCII characters of the lower-cased text;
-everything else separates words.  A null text has no words.  All kernels work on whole texts: a column is cut
-into chunks of rows (never of text) so that the working set stays in cache.
+A word is a maximal run of letters, marks and numbers (Unicode categories L, M, N) of the lower-cased text, but each
+code point of a script that is written without blanks (ALONE) is a word of its own; everything else separates words:
+blanks, punctuation and symbols of any script.  A null text has no words.  All kernels work on whole texts: a column is
+cut into chunks of rows (never of text) so that the working set stays in cache.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +20,10 @@ CHUNK_BYTES = 512 * 1024
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _WORD = np.zeros(256, dtype=bool)
-_WORD[128:] = True
-for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
+for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _WORD[_c] = True
-_CASED = _WORD.copy()
-for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
-    _CASED[_c] = True
+#: Ranges of code points of scripts without blanks: Thai, Lao, Myanmar, Khmer, Kana, Bopomofo, Han.
+ALONE = ((0x0E01, 0x0E3A), (0x0E40, 0x0E4E), (0x0E81, 0x0ECE), (0x1000, 0x103F), (0x1050, 0x108F), (0x1780, 0x17D3), (0x3005, 0x3007), (0x3031, 0x3035), (0x3041, 0x3096), (0x3099, 0x309A), (0x309D, 0x309F), (0x30A1, 0x30FA), (0x30FC, 0x30FF), (0x3105, 0x312F), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x323AF))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -74,6 +75,48 @@ def row_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         i = min(j, n)
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """For each code point 0 (separates words), 1 (part of a word) or 2 (a word of its own)."""
+    kind = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)), np.uint8, 0x110000)
+    for a, b in ALONE:
+        kind[a : b + 1] = 2
+    return kind
+
+
+def word_bounds(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) in bytes of the words of UTF-8 ``data``; ``cut`` (one longer) marks where texts begin and end."""
+    n = len(data)
+    inside = _WORD[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    alone = np.zeros(0, np.int64)
+    if len(lead):
+        size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+        point = (data[lead] & (0x7F >> size)).astype(np.int64)
+        for k in range(1, 4):
+            more = np.flatnonzero((size > k) & (lead + k < n))
+            point[more] = point[more] << 6 | data[lead[more] + k] & 0x3F
+        kind = _kinds()[np.minimum(point, 0x10FFFF)]
+        part = np.flatnonzero(kind)
+        for k in range(4):
+            at = lead[part[size[part] > k]] + k
+            inside[at[at < n]] = True
+        alone = np.flatnonzero(kind == 2)
+    begin, stop = inside.copy(), inside.copy()
+    edge = ~inside[:-1] | cut[1:n]
+    begin[1:] &= edge
+    stop[:-1] &= ~inside[1:] | cut[1:n]
+    if len(alone):
+        first, after = lead[alone], np.minimum(lead[alone] + size[alone], n)
+        begin[first] = True
+        stop[after - 1] = True
+        before = first[first > 0] - 1
+        stop[before] |= inside[before]
+        after = after[after < n]
+        begin[after] |= inside[after]
+    return np.flatnonzero(begin), np.flatnonzero(stop) + 1
+
+
 class Words:
     """The words of some rows: ``row``, byte range ``start``/``end`` within ``base`` and 64-bit ``hash`` of each."""
 
@@ -85,15 +128,9 @@ class Words:
         self.offsets = off - off[0]
         self.n_rows = len(column)
         n = len(data)
-        inside = _WORD[data]
         cut = np.zeros(n + 1, bool)
         cut[self.offsets] = True
-        begin = inside.copy()
-        begin[1:] &= ~inside[:-1] | cut[1:n]
-        stop = inside.copy()
-        stop[:-1] &= ~inside[1:] | cut[1:n]
-        self.start = np.flatnonzero(begin)
-        self.end = np.flatnonzero(stop) + 1
+        self.start, self.end = word_bounds(data, cut)
         up, down = _power_tables(n)
         h = np.zeros(n + 1, np.uint64)
         np.cumsum((data + np.uint64(1)) * up[:n], out=h[1:])
@@ -105,9 +142,7 @@ class Words:
 
 def cased_ranges(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges of the words of one text in its own case; their number and order are those of the lower-cased text."""
-    inside = _CASED[np.frombuffer(text, np.uint8)]
-    turn = np.flatnonzero(np.diff(np.r_[False, inside, False]))
-    return turn[::2], turn[1::2]
+    return word_bounds(np.frombuffer(text, np.uint8), np.zeros(len(text) + 1, bool))
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairngraph.llm import itq, minhash, repeats
+from cairngraph.llm import _text, itq, minhash, repeats
 from cairngraph.llm._shared import Scratch, components
 from cairngraph.llm.rindex import RunLengthIndex, suffix_array
 
-TOKEN = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
+ALONE = "".join(f"{chr(a)}-{chr(b)}" for a, b in _text.ALONE)
+TOKEN = regex.compile(rf"[{ALONE}]|(?:(?![{ALONE}])[\p{{L}}\p{{M}}\p{{N}}])+")
 
 
 def words_of(text):
@@ -85,25 +87,45 @@ def test_group_cases(spark, docs, make_prose, extra):
     assert minhash.near_groups(d.limit(0)).count() == 0
 
 
-def test_posterior_bounds():
-    least = minhash.least_matches(0.5, 0.01)
+@pytest.mark.parametrize(("threshold", "miss"), [(0.5, 0.01), (0.8, 0.05)])
+def test_posterior_bounds(threshold, miss):
+    """The posterior's tail by integrating its density over a fine grid."""
+    least = minhash.least_matches(threshold, miss)
     assert len(least) == 8 and (np.diff(least) > 0).all()
-    from scipy.stats import beta  # noqa: PLC0415 - optional
+    x = (np.arange(200_000) + 0.5) / 200_000
+
+    def tail(m, n):
+        log = m * np.log(x) + (n - m) * np.log1p(-x)
+        density = np.exp(log - log.max())
+        return density[x >= threshold].sum() / density.sum()
 
     for k, m in enumerate(least):
         n = 16 * (k + 1)
-        assert beta.sf(0.5, m + 1, n - m + 1) >= 0.01 > beta.sf(0.5, m, n - m + 2)
-
-
-test_posterior_bounds = pytest.mark.skipif(__import__("importlib").util.find_spec("scipy") is None, reason="no scipy")(test_posterior_bounds)
+        assert tail(m, n) >= miss and (m == 0 or tail(m - 1, n) < miss)
 
 
 def test_components(spark, rng):
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1040)]
     df = spark.createDataFrame(edges, "a long, b long")
-    for limit in (10**6, 0):
+    for limit in (10**6, 7):  # seven edges a union: many rounds
         got = {r["id"]: r["root"] for r in components(df, Scratch(spark), limit).collect()}
         assert got == groups_of(edges)
+    assert components(df.limit(0), Scratch(spark)).count() == 0
+    assert {tuple(r) for r in components(spark.createDataFrame([(5, 5), (5, 6), (7, 7)], "a long, b long"), Scratch(spark)).collect()} == {(5, 5), (6, 5), (7, 7)}
+
+
+def test_words():
+    """Words by code points: blanks and punctuation of any script separate, scripts without blanks have words of one."""
+    rows = ["Ein\u00a0\u201eWort\u201c \u2013 na\u00efve caf\u00e9s", "\u4f60\u597d\uff0c\u4e16\u754c abc\u6f22", "\u041f\u0440\u0438\u0432\u0435\u0442 x\u0301y", "", "\U0001f600 a\U00020000b", "\u0e2a\u0e27\u0e31\u0e2a"]
+    low = _text.lower(pa.array(rows))
+    words = _text.Words(low)
+    raw, _ = _text.buffers(low)
+    for r, text in enumerate(low.to_pylist()):
+        got = [bytes(raw[words.start[k] : words.end[k]]).decode() for k in range(words.first[r], words.first[r + 1])]
+        assert got == TOKEN.findall(text)
+        a, b = _text.cased_ranges(rows[r].encode())
+        assert [rows[r].encode()[x:y].decode().lower() for x, y in zip(a, b, strict=True)] == got
+    assert words.counts.tolist() == [4, 6, 2, 0, 3, 4]
 
 
 # -- run-length index

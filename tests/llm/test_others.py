@@ -196,74 +196,97 @@ def test_warc(spark):
 # -- decontamination
 
 
+def stretches(places, n):
+    """Maximal runs of the words that [p, p + n) cover."""
+    out = []
+    for p in sorted(places):
+        if out and p <= out[-1][1]:
+            out[-1][1] = p + n
+        else:
+            out.append([p, p + n])
+    return out
+
+
 def brute_leaks(text, items):
-    """Words of a text that lie in a maximal match that exceeds a limit."""
+    """(first, end, item_id) of what leaks, item by item on lists of words."""
     w, least, found = words_of(text), decontaminate.LEAST, []
-    seqs = {i: words_of(t) for i, t in items if len(words_of(t)) >= least}
+    for i, t in items:
+        s = words_of(t)
+        rank = (len(s), i is None, i or 0)
+        n = min(least, len(s))
+        if not n:
+            continue
+        own = {tuple(s[k : k + n]): None for k in range(len(s) - n + 1)}
+        hit = [p for p in range(len(w) - n + 1) if tuple(w[p : p + n]) in own]
+        said = {tuple(w[p : p + n]) for p in hit}
+        covered = {q for k in range(len(s) - n + 1) if tuple(s[k : k + n]) in said for q in range(k, k + n)}
+        if covered and len(covered) >= decontaminate.COVERAGE * len(s):
+            found += [(a, b, rank) for a, b in stretches(hit, n)]
+        if len(s) < least:
+            continue
+        for a in range(len(w)):  # the longest match from each word
+            b = a
+            while b < len(w) and any(s[k : k + b - a + 1] == w[a : b + 1] for k in range(len(s) - (b - a))):
+                b += 1
+            if b - a >= decontaminate.LENGTH:
+                found.append((a, b, rank))
+    wide = {(a, b): min(r for x, y, r in found if (x, y) == (a, b)) for a, b, _ in found if not any((c < a and b <= d) or (c <= a and b < d) for c, d, _ in found)}
+    return sorted((a, b, r[2] if not r[1] else None) for (a, b), r in wide.items())
 
-    def inside(piece):
-        return [i for i, s in seqs.items() if any(s[k : k + len(piece)] == piece for k in range(len(s) - len(piece) + 1))]
 
-    for a in range(len(w)):
-        b = a + least
-        if b > len(w) or not inside(w[a:b]):
-            continue
-        while b < len(w) and inside(w[a : b + 1]):
-            b += 1
-        if a == 0 or not inside(w[a - 1 : b]):
-            found.append((a, b, min(inside(w[a:b]), key=lambda i: (len(seqs[i]), list(seqs).index(i)))))
-    cover = {}
-    for a, b, i in found:
-        cover.setdefault(i, set()).update(range(a, b))
-    return [(a, b, i) for a, b, i in found if b - a >= decontaminate.LENGTH or len(cover[i]) >= decontaminate.COVERAGE * len(seqs[i])]
-
-
-def test_leaks(spark, docs, rng, make_prose):
-    items = [(i, make_prose(rng.randrange(6, 40))) for i in range(15)] + [(15, "ba be bi"), (16, None), (17, "")]
+def leaks_by_doc(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["doc_id"], []).append((r["first_word"], r["end_word"], r["item_id"]))
+    return {k: sorted(v) for k, v in got.items()}
+
+
+@pytest.mark.parametrize("shard_words", [decontaminate.SHARD_WORDS, 50])
+def test_leaks(spark, docs, rng, make_prose, shard_words):
+    phrases = [make_prose(n) for n in (5, 6, 7, 9)]  # that items share
+    items = [(i, " ".join([make_prose(rng.randrange(3, 20)), rng.choice(phrases), make_prose(rng.randrange(0, 12)), rng.choice(phrases)])) for i in range(15)]
+    items += [(15, "ba be bi"), (16, None), (17, ""), (18, "x1 y1"), (19, items[3][1] + " " + make_prose(4))]
     rows = []
-    for i in range(60):
+    for i in range(80):
         parts = [make_prose(rng.randrange(0, 30))]
-        for _ in range(rng.randrange(0, 3)):
-            item = (rng.choice(items[:15])[1]).split()
+        for _ in range(rng.randrange(0, 4)):
+            item = (rng.choice([*items[:15], items[18], items[19]])[1]).split()
             a = rng.randrange(0, len(item))
-            parts += [" ".join(item[a : a + rng.randrange(3, 30)]).upper() + "!", make_prose(rng.randrange(0, 20))]
+            parts += [rng.choice([" ".join(item[a : a + rng.randrange(3, 30)]).upper() + "!", rng.choice(phrases)]), make_prose(rng.randrange(0, 20))]
         rows.append((i, " ".join(parts)))
     bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, doc_id string")
-    got = {}
-    for r in decontaminate.find_leaks(docs(rows), bench).collect():
-        got.setdefault(r["doc_id"], []).append((r["first_word"], r["end_word"], r["item_id"]))
+    got = leaks_by_doc(decontaminate.find_leaks(docs(rows), bench, shard_words=shard_words))
     want = {i: x for i, t in rows if (x := brute_leaks(t, items))}
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and want
-    left = {r["doc_id"]: r["text"] for r in decontaminate.remove_leaks(docs(rows), bench).collect()}
+    assert got == want and want
+    left = {r["doc_id"]: r["text"] for r in decontaminate.remove_leaks(docs(rows), bench, shard_words=shard_words).collect()}
     for i, t in rows:
         keep = [x for k, x in enumerate(words_of(t)) if not any(a <= k < b for a, b, _ in want.get(i, []))]
         assert words_of(left.get(i, "")) == keep and (i in want or left[i] == t)
 
 
-def test_shared_phrases_count_for_every_item(spark, docs):
-    """Each item's coverage is its own, whichever other items hold the same words."""
+@pytest.mark.parametrize("shard_words", [decontaminate.SHARD_WORDS, 1])
+def test_shared_phrases_count_for_every_item(spark, docs, shard_words):
+    """Each item's coverage is its own, whichever other items hold the same words, and in whatever shards they lie."""
     a, b = [f"a{i}" for i in range(20)], [f"b{i}" for i in range(15)]
     b[:6] = a[:6]
     c = ["c0", "c1", *a[14:20], *[f"c{i}" for i in range(30)]]
     bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "item_id long, text string")
-    rows = [(1, ["x", *a[:6], "y", *a[9:15], "z"]), (2, ["x", *a[:6], "y", "z"]), (3, ["x", *c[:8], "y", *a[:5], "z"]), (4, ["x", *a[:5], "y", *c[:8]])]
+    rows = [(1, ["x", *a[:6], "y", *a[9:15], "z"]), (2, ["x", *a[:6], "y", "z"]), (3, ["x", *c[:8], "y", *a[:5], "z"]), (4, ["x", *a[:5], "y", *c[:8]]), (5, [*a[:5], "x"] * 4)]
     d = docs([(i, " ".join(w)) for i, w in rows])
-    got = sorted((r["doc_id"], r["first_word"], r["end_word"], r["item_id"]) for r in decontaminate.find_leaks(d, bench).collect())
-    want = []
-    for i, w in rows:  # words in runs of LEAST words, item by item
-        for k, item in ((1, a), (2, b), (3, c)):
-            n = decontaminate.LEAST
-            runs = {tuple(item[j : j + n]) for j in range(len(item) - n + 1)}
-            hit = {x for j in range(len(w) - n + 1) if tuple(w[j : j + n]) in runs for x in range(j, j + n)}
-            if len(hit) >= decontaminate.COVERAGE * len(item):
-                want.append((i, k, hit))
-    assert {(i, k) for i, k, _ in want} == {(1, 1), (3, 1), (4, 1)}
-    assert all(any(g[0] == i and g[1] <= x < g[2] for g in got) for i, _, hit in want for x in hit)
-    assert got == [(1, 1, 7, 1), (1, 8, 14, 1), (3, 1, 9, 3), (3, 10, 15, 1), (4, 1, 6, 1), (4, 7, 15, 3)]
-    left = {r["doc_id"]: r["text"].split() for r in decontaminate.remove_leaks(d, bench).collect()}
+    got = leaks_by_doc(decontaminate.find_leaks(d, bench, shard_words=shard_words))
+    assert got == {1: [(1, 7, 1), (8, 14, 1)], 3: [(1, 9, 3), (10, 15, 1)], 4: [(1, 6, 1), (7, 15, 3)]}
+    assert got == {i: x for i, w in rows if (x := brute_leaks(" ".join(w), [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))]))}
+    left = {r["doc_id"]: r["text"].split() for r in decontaminate.remove_leaks(d, bench, shard_words=shard_words).collect()}
     assert left[1] == ["x", "y", "z"] and left[2] == rows[1][1] and left[3] == ["x", "y", "z"] and left[4] == ["x", "y"]
 
 
+def test_short_items_match_whole(spark, docs):
+    bench = spark.createDataFrame([(1, "q1 q2 q3"), (2, "q4")], "item_id long, text string")
+    d = docs([(1, "a q1 q2 q3 b q1 q2"), (2, "q4"), (3, "q2 q3")])
+    assert leaks_by_doc(decontaminate.find_leaks(d, bench)) == {1: [(1, 4, 1)], 2: [(0, 1, 2)]}
+    assert {r["doc_id"]: r["text"] for r in decontaminate.remove_leaks(d, bench).collect()} == {1: "a  b q1 q2", 3: "q2 q3"}
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_leak_cases(spark, docs, make_prose, extra):
     item = make_prose(12)
@@ -278,5 +301,8 @@ def test_leak_cases(spark, docs, make_prose, extra):
 
 def test_shards(spark, docs, make_prose):
     items = [(i, make_prose(20)) for i in range(6)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
     assert len(decontaminate.publish_automata(bench, 50)) == 2
+    long = make_prose(20000)
+    got = leaks_by_doc(decontaminate.find_leaks(docs([(1, "x9 " + long)]), spark.createDataFrame([(1, long)], "item_id long, text string")))
+    assert got == {1: [(1, 20001, 1)]}
