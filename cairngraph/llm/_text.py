@@ -84,12 +84,12 @@ def _kinds() -> np.ndarray:
     return kind
 
 
-def word_bounds(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) in bytes of the words of UTF-8 ``data``; ``cut`` (one longer) marks where texts begin and end."""
+def word_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether each byte of UTF-8 ``data`` is a word's, first bytes of code points that are words, the bytes after them)."""
     n = len(data)
     inside = _WORD[data]
     lead = np.flatnonzero(data >= 0xC0)
-    alone = np.zeros(0, np.int64)
+    alone = size = np.zeros(0, np.int64)
     if len(lead):
         size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
         point = (data[lead] & (0x7F >> size)).astype(np.int64)
@@ -102,12 +102,19 @@ def word_bounds(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarr
             at = lead[part[size[part] > k]] + k
             inside[at[at < n]] = True
         alone = np.flatnonzero(kind == 2)
+        alone, size = lead[alone], size[alone]
+    return inside, alone, np.minimum(alone + size, n)
+
+
+def word_bounds(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) in bytes of the words of UTF-8 ``data``; ``cut`` (one longer) marks where texts begin and end."""
+    n = len(data)
+    inside, first, after = word_bytes(data)
     begin, stop = inside.copy(), inside.copy()
     edge = ~inside[:-1] | cut[1:n]
     begin[1:] &= edge
     stop[:-1] &= ~inside[1:] | cut[1:n]
-    if len(alone):
-        first, after = lead[alone], np.minimum(lead[alone] + size[alone], n)
+    if len(first):
         begin[first] = True
         stop[after - 1] = True
         before = first[first > 0] - 1

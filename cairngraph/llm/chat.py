@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairngraph.llm._shared import tune
@@ -116,16 +116,22 @@ def calls_of_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def calls_of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) that plain turns stand for: a user turn calls ``reply`` with its text, which the assistant's next turn answers.
 
-    A call's id is c<conv_id>-<turn>; it comes after the user turn before it.  Rows without a conv_id, turn or role
-    take no part; of rows that repeat a turn the smallest role and text count; a null text is an empty prompt.
+    A call's id is c<conv_id>-<turn>; it comes after the user turn before it, however far back.  An assistant turn
+    answers the user turn that it follows, system turns apart; one that follows no user turn is an orphan, named after
+    the turn before its own.  Rows without a conv_id, turn or role take no part; of rows that repeat a turn the smallest
+    role and text count; a null text is an empty prompt.
     """
     rows = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null and role is not null")
     turns = rows.groupBy("conv_id", "turn").agg(F.min(F.struct("role", F.coalesce("text", F.lit("")).alias("text"))).alias("m")).select("conv_id", "turn", "m.role", "m.text")
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    said = Window.partitionBy("conv_id").orderBy("turn")
+    user = F.when(F.col("role") == "user", F.col("turn"))
+    turns = turns.where("role in ('user', 'assistant')").withColumns({"before": F.last(user, True).over(said.rowsBetween(Window.unboundedPreceding, -1)), "asked": F.lag(user).over(said)})
     users = turns.where("role = 'user'")
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")))
-    calls = users.select("conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"), F.array(name(F.col("turn") - 2)).alias("after"))
-    results = turns.where("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    after = F.array_compact(F.array(name(F.col("before"))))
+    calls = users.select("conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"), after.alias("after"))
+    results = turns.where("role = 'assistant'").select("conv_id", name(F.coalesce("asked", F.col("turn") - 1)).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 
@@ -171,8 +177,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] | None =
     ``json`` has the calls in topological order with their arguments, what these violate, and their results, and the
     ids of results without a call (orphans).  Defined results: rows without a conv_id or call_id take no part; of
     calls that repeat an id the one of the smallest turn, then arguments, counts, of results the one of the smallest
-    turn, then content; arguments that aren't JSON and unknown tools are invalid; a result's null content is no
-    answer; calls on or behind a cycle come last; empty tables give no rows.
+    turn, then content; of calls that may come next the one of the smallest turn, then id, does; arguments that aren't JSON and unknown tools are invalid; a result's null content is no
+    answer; calls on or behind a cycle come last; very long texts are written whole; empty tables give no rows; other
+    columns are not read.
     """
     tune(calls.sparkSession)
     calls = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min_by(F.struct("turn", "name", "arguments", "after"), F.struct(F.coalesce("turn", F.lit(1 << 62)), "arguments")).alias("c"))
@@ -184,7 +191,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] | None =
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """link() of the calls that the turns stand for together with those written in the messages."""
+    """link() of the calls that the turns stand for (calls_of_turns) together with those written in the messages.
+
+    A conversation of neither, as of system turns only, has no row; see link and calls_of_turns for nulls, empty and very
+    long texts, ties, repeated rows, empty tables and other columns.
+    """
     calls, results = calls_of_turns(conversations)
     written_calls, written_results = calls_of_messages(conversations)
     return link(calls.unionByName(written_calls), results.unionByName(written_results))
@@ -194,7 +205,8 @@ def oracle() -> str:
     """The same for conversations without written calls and without repeated turns."""
     return """
 WITH u AS (SELECT conv_id, turn, text, 'c' || conv_id || '-' || turn AS id FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, 'c' || conv_id || '-' || (turn - 1) AS id, text AS content FROM conversations WHERE role = 'assistant'),
+s AS (SELECT *, lag(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations WHERE role IN ('user', 'assistant')),
+a AS (SELECT conv_id, 'c' || conv_id || '-' || coalesce(asked, turn - 1) AS id, text AS content FROM s WHERE role = 'assistant'),
 l AS (SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.id, a.id) AS id, u.turn, u.id IS NOT NULL AS is_call, a.content,
              CASE WHEN u.id IS NULL THEN NULL ELSE '{"arguments":{"prompt":' || to_json(u.text) || ',"turn":' || u.turn || '},"errors":[' ||
                   CASE WHEN u.text = '' THEN '"$.prompt: minLength"' ELSE '' END || '],"id":' || to_json(u.id) || ',"name":"reply","result":' || coalesce(to_json(a.content)::VARCHAR, 'null') || '}' END AS item,

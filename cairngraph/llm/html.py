@@ -8,6 +8,7 @@ above a threshold, clustered with their neighbours, are content.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -45,6 +46,43 @@ class LineParser(HTMLParser):
         self.parts: list[str] = []
         self.count = 0
         self.hidden: list[tuple[str, int]] = []
+        self.open: Counter[str] = Counter()  # of the hidden ones, by name
+
+    # What has no end is text from its "<" on, and never searched for its end again: broken mark-up takes linear time.
+
+    def goahead(self, end: bool) -> None:
+        self.last_end, self.last_comment_end = self.rawdata.rfind(">"), self.rawdata.rfind("-->")
+        super().goahead(end)
+
+    def _bare(self, i: int, size: int = 1) -> int:
+        self.handle_data(self.rawdata[i : i + size])
+        return i + size
+
+    def parse_starttag(self, i: int) -> int:
+        return super().parse_starttag(i) if i < self.last_end else self._bare(i)
+
+    def parse_endtag(self, i: int) -> int:
+        return super().parse_endtag(i) if i < self.last_end else self._bare(i)
+
+    def parse_pi(self, i: int) -> int:
+        return super().parse_pi(i) if i < self.last_end else self._bare(i)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return super().parse_comment(i, report) if i < self.last_comment_end else self._bare(i, 4)
+
+    def parse_html_declaration(self, i: int) -> int:
+        if i > self.last_end:
+            return self._bare(i)
+        return self.parse_bogus_comment(i) if self.rawdata[i : i + 3] == "<![" else super().parse_html_declaration(i)
+
+    def hide(self, tag: str) -> None:
+        self.hidden.append((tag, self.seen))
+        self.open[tag] += 1
+
+    def show(self) -> tuple[str, int]:
+        top = self.hidden.pop()
+        self.open[top[0]] -= 1
+        return top
 
     def line(self) -> None:
         if self.parts or self.count:
@@ -54,14 +92,14 @@ class LineParser(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.hidden and self.hidden[-1][0] == "head" and tag not in _IN_HEAD:
-            self.hidden.pop()
+            self.show()
         if tag in _BLOCK:
             self.line()
         self.count += 1
         if tag in _SKIPPED:
             self.seen += 1
             if self.seen not in self.shown:
-                self.hidden.append((tag, self.seen))
+                self.hide(tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in _BLOCK:
@@ -70,8 +108,8 @@ class LineParser(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.count += 1
-        if any(t == tag for t, _ in self.hidden):
-            while (top := self.hidden.pop())[0] != tag:
+        if self.open[tag]:
+            while (top := self.show())[0] != tag:
                 self.unclosed.add(top)
         if tag in _BLOCK:
             self.line()
@@ -148,7 +186,9 @@ def extract_pages(pages: DataFrame, sigma: float = SIGMA, share: float = SHARE)
     """(page_id, content, n_lines, n_kept) of every page.
 
     Defined results: null, empty or tagless HTML: the text itself, if any, else an empty content; a null page_id stays
-    null; repeated rows give equal rows; broken mark-up is read as far as the parser does; other columns are not read.
+    null; repeated rows give equal rows; very long pages are read whole, in linear time; a tag or comment without an end
+    is text, an element without an end hides nothing unless it is a script or the like; a page of equal ratios, as of one
+    line, is content; an empty table gives no rows; other columns are not read.
     """
     tune(pages.sparkSession)
 

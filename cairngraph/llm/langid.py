@@ -3,13 +3,13 @@
 posterior(l) is proportional to prior(l | host) * P(declared | l) * P(text | l)^w, where
 
 * the text likelihood is a naive Bayes model of hashed byte trigrams, trained on a bounded sample of labelled rows;
-* the declared language is the language of the mark-up (pages) or of the table (documents), whose reliability is a
-  smoothed confusion matrix;
+* the declared language is that of the mark-up, whose reliability is a smoothed confusion matrix (documents have no
+  mark-up; their column lang holds the labels that the text model is fitted on, so it is no evidence);
 * the host prior is smoothed towards its address suffix' and that towards all rows' distribution, all of them grouped
   counts of the text model's decisions over the whole table.
 
-The counts are one narrow aggregation; the decision is one more pass over the texts, which are never shuffled unless
-there are more hosts than may be broadcast.
+The counts are one narrow aggregation; the decision is one more pass over the texts, which becomes a few scores a row
+before anything is joined.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairngraph.llm._shared import Scratch, checked_join, releasing
-from cairngraph.llm._text import buffers, lower, row_chunks
+from cairngraph.llm._shared import Scratch, checked_join, free, releasing
+from cairngraph.llm._text import buffers, lower, row_chunks, word_bytes
 
 #: Ids of each label whose rows the text model is fitted on at most (those of the least hashes).
 TRAIN_ROWS = 6000
@@ -41,7 +41,7 @@ _PREFIX = "__cairn_"
 def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, whether it counts, each row's first) of the byte trigrams; texts get a blank at either end.
 
-    ASCII other than letters is a blank, and a trigram counts if its middle is none, so numbers are no evidence.
+    All but letters is blank, and a trigram counts if its middle isn't, so numbers and symbols are no evidence.
     """
     raw, off = buffers(column)
     n = len(column)
@@ -51,7 +51,8 @@ def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = np.ones(len(data), bool)
     keep[start] = False
     keep[start + size + 1] = False
-    data[keep] = raw[off[0] : off[-1]]
+    own = raw[off[0] : off[-1]]
+    data[keep] = np.where(word_bytes(own)[0], own, 32) if own.max(initial=0) > 127 else own
     data[(data < 97) | (data > 122) & (data < 128)] = 32
     code = np.zeros(len(data), np.uint32)
     code[:-2] = (data[:-2] * np.uint32(0x9E3779B1)) ^ (data[1:-1] * np.uint32(0x85EBCA77)) ^ (data[2:] * np.uint32(0xC2B2AE3D))
@@ -79,14 +80,17 @@ def text_scores(column: pa.Array, model: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, texts that hold it) of (lang, text): no text, however long or repetitive, makes a trigram frequent."""
     for batch in batches:
         label, text = np.array(batch.column(0).to_pylist(), object), lower(batch.column(1))
         for lang in sorted(set(label)):
             rows = text.take(pa.array(np.flatnonzero(label == lang)))
             n = np.zeros(BUCKETS, np.int64)
             for i, j in row_chunks(rows):
-                code, counts, _ = _trigrams(rows[i:j])
-                n += np.bincount(code[counts], minlength=BUCKETS)
+                code, counts, start = _trigrams(rows[i:j])
+                at = np.flatnonzero(counts)
+                row = np.searchsorted(start, at, "right")
+                n += np.bincount(np.unique(row * BUCKETS + code[at]) % BUCKETS, minlength=BUCKETS)
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "bucket", "n"])
 
@@ -102,15 +106,15 @@ class Evidence:
 
     @staticmethod
     def of_documents() -> Evidence:
-        """A document's own columns: its source stands for the host, its lang for the declaration."""
-        return Evidence(F.col("text"), F.lower("lang"), F.col("source"), F.regexp_extract("source", r"\.([A-Za-z]+)$", 1))
+        """A document's own columns: its source stands for the host."""
+        return Evidence(F.col("text"), host=F.col("source"), suffix=F.regexp_extract("source", r"\.([A-Za-z]+)$", 1))
 
     @staticmethod
     def of_pages() -> Evidence:
         """A page's mark-up without its tags, its html lang attribute, and the host and top-level domain of its address."""
         host = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1))
-        body = F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
-        return Evidence(body, F.lower(F.regexp_extract("html", r"""<html[^>]*\blang=["']?([A-Za-z]+)""", 1)), host, F.regexp_extract(host, r"\.([a-z]+)$", 1))
+        body = F.regexp_replace("html", r"(?is)<(?:script|style)\b.*?(?:</(?:script|style)[^<>]*>|\z)|<!--.*?(?:-->|\z)|<[a-z/!?][^<>]*>", " ")
+        return Evidence(body, F.lower(F.regexp_extract("html", r"""(?i)<html[^<>]*\blang=["']?([A-Za-z]+)""", 1)), host, F.regexp_extract(host, r"\.([a-z]+)$", 1))
 
 
 @dataclass
@@ -154,13 +158,15 @@ def _tally(model: TextModel):
     return run
 
 
-def identify(rows: DataFrame, evidence: Evidence, model: TextModel, least: float = LEAST_POSTERIOR) -> DataFrame:
-    """``rows`` with __cairn_lang, __cairn_posterior and __cairn_accepted."""
+def identify(rows: DataFrame, evidence: Evidence, model: TextModel, least: float = LEAST_POSTERIOR, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """(the columns ``keep`` of rows, all by default, with three more; the names of these: language, posterior, whether accepted)."""
+    out_names = free(rows, *[_PREFIX + n for n in ("lang", "posterior", "accepted")])
+    kept = [F.col(f"`{c}`") for c in (rows.columns if keep is None else keep)]
     scratch = Scratch(rows.sparkSession)
     k = len(model.languages)
     named = {"text": evidence.text, "host": F.coalesce(evidence.host, F.lit("")), "suffix": F.coalesce(evidence.suffix, F.lit("")), "declared": F.coalesce(evidence.declared, F.lit(""))}
     if not k:
-        return rows.withColumns({_PREFIX + "lang": F.lit(UNKNOWN), _PREFIX + "posterior": F.lit(0.0), _PREFIX + "accepted": F.lit(False)})
+        return rows.select(*kept, *[v.alias(n) for v, n in zip((F.lit(UNKNOWN), F.lit(0.0), F.lit(False)), out_names, strict=True)]), out_names
     narrow = rows.select(*[c.alias(n) for n, c in named.items()])
     tally = narrow.select("text", "host", "suffix", "declared").mapInArrow(_tally(model), "host string, suffix string, declared string, best int, n long")
     tally = scratch.table(tally.groupBy("host", "suffix", "declared", "best").agg(F.sum("n").alias("n")), "tally")
@@ -172,19 +178,27 @@ def identify(rows: DataFrame, evidence: Evidence, model: TextModel, least: float
     in_suffix = [((F.col(f"n{i}") + SUFFIX_STRENGTH * float(base[i])) / (sum(F.col(f"n{j}") for j in range(k)) + SUFFIX_STRENGTH)).alias(f"s{i}") for i in range(k)]
     host = tally.groupBy("host", "suffix").agg(*n_of).join(suffix.select("suffix", *in_suffix), "suffix")
     prior = F.array(*[F.log((F.col(f"n{i}") + HOST_STRENGTH * F.col(f"s{i}")) / (sum(F.col(f"n{j}") for j in range(k)) + HOST_STRENGTH)) for i in range(k)])
-    priors = host.select(F.col("host").alias(_PREFIX + "host"), F.col("suffix").alias(_PREFIX + "suffix"), prior.alias(_PREFIX + "prior"))
+    score_at, host_at, suffix_at, declared_at, prior_at, said_at = free(rows, *[_PREFIX + n for n in ("scores", "host", "suffix", "declared", "prior", "said")])
+    priors = host.select(F.col("host").alias(host_at), F.col("suffix").alias(suffix_at), prior.alias(prior_at))
     # P(declared | best): what a language's rows declare; smoothed towards what all rows declare
     every = float(tally.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) + 1.0
     said = tally.where("declared <> ''").groupBy("declared").agg(*n_of, F.sum("n").alias("n"))
     likely = F.array(*[F.log((F.col(f"n{i}") + DECLARED_STRENGTH * F.col("n") / every) / (float(total[i]) + DECLARED_STRENGTH)) for i in range(k)])
-    said = said.select(F.col("declared").alias(_PREFIX + "declared"), likely.alias(_PREFIX + "said")).checkpoint(eager=True)
+    said = said.select(F.col("declared").alias(declared_at), likely.alias(said_at)).checkpoint(eager=True)
     priors = scratch.keep(priors)
     languages, weights = model.languages, model.weights
 
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def score(text: pa.Array) -> pa.Array:
+        """The log-likelihood in each language, then the number of trigrams."""
+        scores, size = text_scores(lower(text), weights)
+        flat = np.concatenate([scores, size[:, None].astype(float)], axis=1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+
     @F.arrow_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("accepted", T.BooleanType())]))
-    def decide(text: pa.Array, said: pa.Array, prior: pa.Array) -> pa.Array:
-        text = lower(text)
-        scores, size = text_scores(text, weights)
+    def decide(scored: pa.Array, said: pa.Array, prior: pa.Array) -> pa.Array:
+        flat = scored.flatten().to_numpy().reshape(-1, len(languages) + 1)
+        scores, size = flat[:, :-1], flat[:, -1]
         known = (size > 0) & (scores.max(1, initial=-np.inf) > FLOOR * size)
         none = np.zeros(len(languages))
         evidence = TEXT_WEIGHT * scores
@@ -198,38 +212,43 @@ def identify(rows: DataFrame, evidence: Evidence, model: TextModel, least: float
         lang = [languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(posterior), pa.array(known & (posterior >= least))], names=["lang", "posterior", "accepted"])
 
-    kept = {n: _PREFIX + n for n in ("text", "declared", "host", "suffix")}
-    wide = rows.withColumns({kept[n]: named[n] for n in kept})
-    joined = checked_join(checked_join(wide, priors, [kept["host"], kept["suffix"]], "left"), said, kept["declared"], "left")
-    out = joined.withColumn(_PREFIX + "d", decide.asNondeterministic()(kept["text"], _PREFIX + "said", _PREFIX + "prior"))
-    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"{_PREFIX}d.{n}").alias(_PREFIX + n) for n in ("lang", "posterior", "accepted")])
+    narrow = rows.select(*kept, score.asNondeterministic()(named["text"]).alias(score_at), named["host"].alias(host_at), named["suffix"].alias(suffix_at), named["declared"].alias(declared_at))
+    joined = checked_join(checked_join(narrow, priors, [host_at, suffix_at], "left"), said, declared_at, "left")
+    (decided,) = free(joined, _PREFIX + "d")
+    out = joined.withColumn(decided, decide.asNondeterministic()(score_at, said_at, prior_at))
+    return out.select(*kept, *[F.col(f"{decided}.{f}").alias(n) for f, n in zip(("lang", "posterior", "accepted"), out_names, strict=True)]), out_names
 
 
 def identify_documents(docs: DataFrame, least: float = LEAST_POSTERIOR, model: TextModel | None = None) -> DataFrame:
-    """(doc_id, declared, lang, posterior, accepted) of every row of documents.
+    """(doc_id, declared, lang, posterior, accepted) of every row of documents; ``declared`` is the column lang, which is not evidence.
 
     Defined results: a text that is null, has no letter, or is less likely than chance in every language is 'und' with
-    posterior 0 and is rejected, as is a best posterior below ``least``; a missing declaration, source or suffix is no
-    evidence; ties go to the language that sorts first; rows that repeat are decided alike; a null doc_id stays null;
-    a table without labelled rows is rejected whole; other columns are not read.
+    posterior 0 and is rejected, as is a best posterior below ``least``; a missing source or suffix is no evidence; very
+    long texts are read whole; ties go to the language that sorts first; rows that repeat are decided alike; a null doc_id
+    stays null; a table without labelled rows is rejected whole; an empty table gives no rows; other columns are not read.
     """
     model = model or train(docs, "doc_id", F.col("text"), F.lower("lang"))
-    done = identify(docs.select("doc_id", "text", "lang", "source"), Evidence.of_documents(), model, least)
-    return done.select(F.col("doc_id").cast("long"), F.col("lang").alias("declared"), *[F.col(_PREFIX + n).alias(n) for n in ("lang", "posterior", "accepted")])
+    done, new = identify(docs.select("doc_id", "text", "lang", "source"), Evidence.of_documents(), model, least, ["doc_id", "lang"])
+    return done.select(F.col("doc_id").cast("long"), F.col("lang").alias("declared"), *[F.col(c).alias(n) for c, n in zip(new, ("lang", "posterior", "accepted"), strict=True)])
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame, least: float = LEAST_POSTERIOR, model: TextModel | None = None) -> DataFrame:
-    """(page_id, url, declared, lang, posterior, accepted) of every page, by the text model of the labelled documents."""
+    """(page_id, url, declared, lang, posterior, accepted) of every page, by the text model of the labelled documents.
+
+    Defined results as in identify_documents: a page that is null, empty or of no letter outside its tags is rejected; a
+    missing or unknown declaration, host or suffix is no evidence; a null page_id or url stays null.
+    """
     model = model or train(docs, "doc_id", F.col("text"), F.lower("lang"))
     evidence = Evidence.of_pages()
-    done = identify(pages.select("page_id", "url", "html"), evidence, model, least)
-    return done.select("page_id", "url", evidence.declared.alias("declared"), *[F.col(_PREFIX + n).alias(n) for n in ("lang", "posterior", "accepted")])
+    named = pages.select("page_id", "url", "html", evidence.declared.alias("declared"))
+    done, new = identify(named, evidence, model, least, ["page_id", "url", "declared"])
+    return done.select("page_id", "url", "declared", *[F.col(c).alias(n) for c, n in zip(new, ("lang", "posterior", "accepted"), strict=True)])
 
 
 def identify_all(docs: DataFrame, pages: DataFrame, least: float = LEAST_POSTERIOR) -> DataFrame:
     """(doc_id, page_id, url, declared, lang, posterior, accepted) of every row of both tables, by one text model.
 
-    A document has no page_id and url, a page no doc_id.
+    A document has no page_id and url, a page no doc_id; see identify_documents and identify_pages for the rest.
     """
     model = train(docs, "doc_id", F.col("text"), F.lower("lang"))
     both = identify_documents(docs, least, model).unionByName(identify_pages(pages, docs, least, model), allowMissingColumns=True)
@@ -237,7 +256,7 @@ def identify_all(docs: DataFrame, pages: DataFrame, least: float = LEAST_POSTERI
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_POSTERIOR) -> DataFrame:
-    """The rows of documents whose language is identified; columns stay as they are."""
+    """The rows of documents whose language is identified (``accepted`` of identify_documents); columns stay as they are."""
     model = train(docs, "doc_id", F.col("text"), F.lower("lang"))
-    done = identify(docs, Evidence.of_documents(), model, least)
-    return done.where(F.col(_PREFIX + "accepted")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    done, new = identify(docs, Evidence.of_documents(), model, least)
+    return done.where(F.col(new[2])).select(*[F.col(f"`{c}`") for c in docs.columns])

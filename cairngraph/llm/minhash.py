@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairngraph.llm._shared import Scratch, checked_join, components, releasing, repeated_ids
+from cairngraph.llm._shared import Scratch, checked_join, components, free, releasing, repeated_ids
 from cairngraph.llm._text import Words, lower, row_chunks, shingles
 
 SHINGLE, HASHES, BANDS, THRESHOLD, MISS, STEP = 3, 128, 32, 0.5, 0.01, 16
@@ -151,7 +151,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MIS
     Two documents are near copies if the Jaccard similarity of their sets of 3-word shingles is at least
     ``threshold``; groups are the connected components, ``group_id`` the smallest doc_id, which is the one to keep.
     Defined results: a null doc_id, a null text and a text without words take no part; a text of fewer than three
-    words is one shingle; rows that repeat a doc_id count as one document, the one of the smallest text; an empty
+    words is one shingle; very long texts are read whole; ties between pairs and leaders go by hash, then id; rows that repeat a doc_id count as one document, the one of the smallest text; an empty
     table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
@@ -217,7 +217,7 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, miss: float
     gone = near_groups(docs, threshold, miss).where(~F.col("keep")).select("doc_id")
     if repeated_ids(docs):
         with_id, without = docs.where(F.col("doc_id").isNotNull()), docs.where(F.col("doc_id").isNull())
-        rank = "__cairn_rank"
+        (rank,) = free(docs, "__cairn_rank")
         w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
         docs = with_id.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank).unionByName(without)
     return checked_join(docs, gone, "doc_id", "left_anti")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairngraph.llm._shared import Scratch, checked_join, components, releasing, repeated_ids
+from cairngraph.llm._shared import Scratch, checked_join, components, free, releasing, repeated_ids
 from cairngraph.llm._text import Words, cut_words, grams, has_words, lower, mix64, plain, row_chunks
 from cairngraph.llm.decontaminate import replace_text
 from cairngraph.llm.rindex import RunLengthIndex, window_hashes
@@ -242,7 +242,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bl
     Every window of ``length`` normalised words whose equal occurs in a document of a smaller doc_id, or earlier in
     its own, belongs to a span; ``source_doc_id`` is a document that holds the start of the span earlier. The first
     occurrence is never marked. Words are counted from 0. Defined results: a null doc_id, a null text and a text of
-    fewer than ``length`` words have no spans; rows that repeat a doc_id count as one document, the one of the
+    fewer than ``length`` words have no spans; very long texts are read whole; rows that repeat a doc_id count as one document, the one of the
     smallest text; an empty table gives no rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
@@ -270,11 +270,11 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bl
 def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
     """The documents without the spans of find_repeats; a document that has no word left goes; columns stay as they are."""
     if repeated_ids(docs):
-        rank = "__cairn_rank"
+        (rank,) = free(docs, "__cairn_rank")
         w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
         docs = docs.withColumn(rank, F.row_number().over(w)).where((F.col(rank) == 1) | F.col("doc_id").isNull()).drop(rank)
     spans = find_repeats(docs, length, anchor, block)
-    column = "__cairn_spans"
+    column, text = free(docs, "__cairn_spans", "__cairn_text")
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "end_word")).alias(column))
 
     @F.arrow_udf(T.StringType())
@@ -288,5 +288,5 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bl
         return pa.array(out, pa.string())
 
     joined = checked_join(docs, by_doc, "doc_id", "left")
-    cleaned = joined.withColumn("__cairn_text", cut.asNondeterministic()("text", column)).drop(column)
-    return replace_text(cleaned, "__cairn_text").select(*[F.col(f"`{c}`") for c in docs.columns])
+    cleaned = joined.withColumn(text, cut.asNondeterministic()("text", column)).drop(column)
+    return replace_text(cleaned, text).select(*[F.col(f"`{c}`") for c in docs.columns])
