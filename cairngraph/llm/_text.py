@@ -89,21 +89,27 @@ def word_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     inside = _WORD[data]
     lead = np.flatnonzero(data >= 0xC0)
-    alone = size = np.zeros(0, np.int64)
-    if len(lead):
-        size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
-        point = (data[lead] & (0x7F >> size)).astype(np.int64)
-        for k in range(1, 4):
-            more = np.flatnonzero((size > k) & (lead + k < n))
-            point[more] = point[more] << 6 | data[lead[more] + k] & 0x3F
-        kind = _kinds()[np.minimum(point, 0x10FFFF)]
-        part = np.flatnonzero(kind)
-        for k in range(4):
-            at = lead[part[size[part] > k]] + k
-            inside[at[at < n]] = True
-        alone = np.flatnonzero(kind == 2)
-        alone, size = lead[alone], size[alone]
-    return inside, alone, np.minimum(alone + size, n)
+    none = np.zeros(0, np.int64)
+    if not len(lead):
+        return inside, none, none
+    first = data[lead]
+    if first.max() < 0xE0 and lead[-1] + 1 < n:  # two bytes each, none of which is a word of its own
+        part = _kinds()[(first & np.uint8(0x1F)).astype(np.int16) << 6 | data[lead + 1] & np.uint8(0x3F)] > 0
+        inside[lead] = part
+        inside[lead + 1] = part
+        return inside, none, none
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    point = (first & (0x7F >> size)).astype(np.int64)
+    for k in range(1, 4):
+        more = np.flatnonzero((size > k) & (lead + k < n))
+        point[more] = point[more] << 6 | data[lead[more] + k] & 0x3F
+    kind = _kinds()[np.minimum(point, 0x10FFFF)]
+    part = np.flatnonzero(kind)
+    for k in range(4):
+        at = lead[part[size[part] > k]] + k
+        inside[at[at < n]] = True
+    alone = np.flatnonzero(kind == 2)
+    return inside, lead[alone], np.minimum(lead[alone] + size[alone], n)
 
 
 def word_bounds(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -195,28 +195,17 @@ def identify(rows: DataFrame, evidence: Evidence, model: TextModel, least: float
         flat = np.concatenate([scores, size[:, None].astype(float)], axis=1)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
 
-    @F.arrow_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("accepted", T.BooleanType())]))
-    def decide(scored: pa.Array, said: pa.Array, prior: pa.Array) -> pa.Array:
-        flat = scored.flatten().to_numpy().reshape(-1, len(languages) + 1)
-        scores, size = flat[:, :-1], flat[:, -1]
-        known = (size > 0) & (scores.max(1, initial=-np.inf) > FLOOR * size)
-        none = np.zeros(len(languages))
-        evidence = TEXT_WEIGHT * scores
-        evidence += np.array([none if d is None else d for d in said.to_pylist()]).reshape(-1, len(languages))
-        evidence += np.array([np.log(base) if p is None else p for p in prior.to_pylist()]).reshape(-1, len(languages))
-        evidence -= evidence.max(1, keepdims=True, initial=-1e300)
-        p = np.exp(evidence)
-        p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
-        posterior = np.where(known, p[np.arange(len(p)), best], 0.0)
-        lang = [languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(posterior), pa.array(known & (posterior >= least))], names=["lang", "posterior", "accepted"])
-
     narrow = rows.select(*kept, score.asNondeterministic()(named["text"]).alias(score_at), named["host"].alias(host_at), named["suffix"].alias(suffix_at), named["declared"].alias(declared_at))
     joined = checked_join(checked_join(narrow, priors, [host_at, suffix_at], "left"), said, declared_at, "left")
-    (decided,) = free(joined, _PREFIX + "d")
-    out = joined.withColumn(decided, decide.asNondeterministic()(score_at, said_at, prior_at))
-    return out.select(*kept, *[F.col(f"{decided}.{f}").alias(n) for f, n in zip(("lang", "posterior", "accepted"), out_names, strict=True)]), out_names
+    scores, n, zeros, even = F.slice(score_at, 1, k), F.element_at(score_at, k + 1), F.array(*[F.lit(0.0)] * k), F.array(*[F.lit(float(x)) for x in np.log(base)])
+    fused = F.zip_with(F.transform(scores, lambda x: x * TEXT_WEIGHT), F.zip_with(F.coalesce(said_at, zeros), F.coalesce(prior_at, even), lambda a, b: a + b), lambda a, b: a + b)
+    fused_at, best_at = free(joined, _PREFIX + "fused", _PREFIX + "best")
+    known = (n > 0) & (F.array_max(scores) > FLOOR * n)
+    best, posterior = F.col(best_at), F.lit(1.0) / F.aggregate(fused_at, F.lit(0.0), lambda s, x: s + F.exp(x - F.col(best_at)))
+    lang = F.element_at(F.array(*map(F.lit, languages)), F.array_position(fused_at, best).cast("int"))
+    out = joined.withColumn(fused_at, fused).withColumn(best_at, F.array_max(fused_at))
+    values = F.when(known, lang).otherwise(UNKNOWN), F.when(known, posterior).otherwise(0.0), known & (posterior >= least)
+    return out.select(*kept, *[v.alias(c) for v, c in zip(values, out_names, strict=True)]), out_names
 
 
 def identify_documents(docs: DataFrame, least: float = LEAST_POSTERIOR, model: TextModel | None = None) -> DataFrame:
