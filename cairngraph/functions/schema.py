@@ -19,6 +19,8 @@ EXTENSIONS = {
     "py": "Python", "pyi": "Python", "rs": "Rust", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript",
     "go": "Go", "cpp": "C++", "cc": "C++", "cxx": "C++", "c": "C++", "h": "C++", "hpp": "C++", "hxx": "C++", "java": "Java", "cs": "C#",
 }
+#: Version of stored graphs.
+SCHEMA_VERSION = 2
 #: Out-edges that one unit may have.
 MAX_OUT_EDGES = 16_384
 
@@ -45,6 +47,7 @@ DEFAULTS = {
     "language": "Unknown", "start_line": 0, "start_col": 0, "end_line": 0, "end_col": 0, "visibility": "unknown", "complexity": 0, "is_async": False, "is_generator": False,
     "created_at": 0, "last_modified": 0, "change_count": 0, "stability_score": 1.0, "collective_usage": 0,
 }
+EDGE_DEFAULTS = {"weight": 1.0, "created_at": 0, "context": 0, "edge_ord": 1}
 
 
 class GraphError(Exception):
@@ -71,5 +74,9 @@ class QueryError(GraphError):
     """A query that can't be understood."""
 
 
+class StorageError(GraphError):
+    """A stored graph that isn't there or is of a version that can't be read."""
+
+
 class DepthExceeded(GraphError):
-    """A traversal without a depth limit went on beyond the engine's own limit."""
+    """A driver-side walk met more units than its caller allows."""

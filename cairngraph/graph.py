@@ -7,23 +7,31 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairngraph.functions import schema as S
 from cairngraph.functions.storage import Scratch
 
 
+def has_reversed(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/reversed")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 @dataclass
 class CodeGraph:
     """``units`` and ``edges``; see functions.schema for their columns. Extra columns are kept and not read."""
 
     units: DataFrame
     edges: DataFrame
+    #: The same edges, stored by their targets; None where they aren't stored.
+    incoming: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
         return self.units.sparkSession
 
-    # -- construction -------------------------------------------------------------------------------------------
+    # construction
 
     @staticmethod
     def empty(spark: SparkSession) -> CodeGraph:
@@ -72,18 +80,52 @@ class CodeGraph:
         base = sizes.select("part", "low", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"))
         return ordered.join(F.broadcast(base), "part").select((F.col("base") + F.col("at") - F.col("low")).alias("id"), *raw.columns)
 
-    # -- storage ------------------------------------------------------------------------------------------------
+    # storage
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
-        """units/ by id, edges/ by edge type and source, reversed/ by edge type and target, for pruning of either direction."""
-        self.units.sortWithinPartitions("id").write.mode(mode).parquet(f"{path}/units")
-        self.edges.repartition("edge_type").sortWithinPartitions("source_id", "target_id").write.mode(mode).partitionBy("edge_type").parquet(f"{path}/edges")
-        stats = self.spark.createDataFrame([(1, self.units.count(), self.edges.count())], "schema_version int, n_units long, n_edges long")
-        stats.coalesce(1).write.mode(mode).json(f"{path}/meta")
+        """units/ by ranges of ids, edges/ by type and ranges of sources, reversed/ by type and ranges of targets, so that either
+        direction prunes files; no type is one task's. Both tables are computed once, into the shared folder, as the ranges
+        are sampled before they are sorted."""
+        scratch = Scratch(self.spark)
+        units, edges = scratch.table(self.units, "units"), scratch.table(self.edges.select(*S.EDGES.fieldNames()), "edges")
+        units.repartitionByRange("id").sortWithinPartitions("id").write.mode(mode).parquet(f"{path}/units")
+        for name, end in (("edges", "source_id"), ("reversed", "target_id")):
+            edges.repartitionByRange("edge_type", end).sortWithinPartitions("edge_type", end).write.mode(mode).partitionBy("edge_type").parquet(f"{path}/{name}")
+        scratch.drop()
+        n_units, n_edges = self.spark.read.parquet(f"{path}/units").count(), self.spark.read.parquet(f"{path}/edges").count()
+        meta = self.spark.createDataFrame([(S.SCHEMA_VERSION, n_units, n_edges)], "schema_version int, n_units long, n_edges long")
+        meta.coalesce(1).write.mode(mode).json(f"{path}/meta")
+
+    @staticmethod
+    def info(spark: SparkSession, path: str) -> dict[str, int]:
+        """schema_version, n_units, n_edges and bytes of a stored graph, without reading it."""
+        meta = spark.read.schema("schema_version int, n_units long, n_edges long").json(f"{path}/meta").first()
+        if meta is None or meta["schema_version"] is None:
+            raise S.StorageError(f"no graph is stored in {path}")
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+        return {**meta.asDict(), "bytes": size}
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> CodeGraph:
-        return CodeGraph(spark.read.parquet(f"{path}/units"), spark.read.parquet(f"{path}/edges").select(*S.EDGES.fieldNames()))
+    def load(spark: SparkSession, path: str, policy: str = "auto") -> CodeGraph:
+        """A stored graph. A later version than this engine's is an error; an earlier one is read with defaults for what it
+        lacks (policy "auto") or is an error ("strict"); "off" doesn't look at the version."""
+        if policy not in ("auto", "strict", "off"):
+            raise S.QueryError(f"unknown policy {policy}")
+        if policy != "off":
+            version = CodeGraph.info(spark, path)["schema_version"]
+            if version > S.SCHEMA_VERSION or version < S.SCHEMA_VERSION and policy == "strict":
+                raise S.StorageError(f"version {version} of {path} isn't {S.SCHEMA_VERSION}")
+
+        def full(df: DataFrame, schema: T.StructType, defaults: dict) -> DataFrame:
+            more = {f.name: F.lit(defaults.get(f.name)).cast(f.dataType) for f in schema if f.name not in df.columns}
+            return df.withColumns(more) if more else df
+
+        edges = full(spark.read.parquet(f"{path}/edges"), S.EDGES, S.EDGE_DEFAULTS).select(*S.EDGES.fieldNames())
+        g = CodeGraph(full(spark.read.parquet(f"{path}/units"), S.UNITS, S.DEFAULTS), edges)
+        if has_reversed(spark, path):
+            g.incoming = full(spark.read.parquet(f"{path}/reversed"), S.EDGES, S.EDGE_DEFAULTS).select(*S.EDGES.fieldNames())
+        return g
 
     def to_json(self) -> DataFrame:
         """(kind, json): a row for each unit (7 columns) and edge (4 columns), for a text sink."""
@@ -95,10 +137,10 @@ class CodeGraph:
     def of_json(rows: DataFrame) -> CodeGraph:
         """The inverse of to_json; columns that it lacks take their defaults."""
         u = rows.where("kind = 'unit'").select(F.from_json("json", S.UNITS).alias("u")).select("u.*").na.fill(S.DEFAULTS)
-        e = rows.where("kind = 'edge'").select(F.from_json("json", S.EDGES).alias("e")).select("e.*").na.fill({"weight": 1.0, "created_at": 0, "context": 0, "edge_ord": 1})
+        e = rows.where("kind = 'edge'").select(F.from_json("json", S.EDGES).alias("e")).select("e.*").na.fill(S.EDGE_DEFAULTS)
         return CodeGraph(u, e)
 
-    # -- lookups ------------------------------------------------------------------------------------------------
+    # lookups
 
     def require(self, *ids: int) -> None:
         """Raises UnitNotFound unless every id is a unit's."""
@@ -117,7 +159,8 @@ class CodeGraph:
         return self.edges_of(*kinds).where(F.col("source_id") == unit_id)
 
     def edges_to(self, unit_id: int, *kinds: str) -> DataFrame:
-        return self.edges_of(*kinds).where(F.col("target_id") == unit_id)
+        back = self.edges if self.incoming is None else self.incoming
+        return (back.where(F.col("edge_type").isin(*kinds)) if kinds else back).where(F.col("target_id") == unit_id)
 
     def has_edge(self, source: int, target: int, kind: str) -> bool:
         return not self.edges_from(source, kind).where(F.col("target_id") == target).isEmpty()

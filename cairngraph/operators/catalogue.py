@@ -34,7 +34,7 @@ def _limit(df: DataFrame, k: int) -> DataFrame:
     return df.limit(k) if k > 0 else df
 
 
-# -- 1: lookup ----------------------------------------------------------------------------------------------------
+# -- 1: lookup
 
 
 def symbol_lookup(graph: CodeGraph, name: str, mode: str = "exact", unit_types: Sequence[str] = (), languages: Sequence[str] = (), limit: int = 0, threshold: int = 2, by_distance: bool = False) -> DataFrame:
@@ -57,7 +57,7 @@ def symbol_lookup(graph: CodeGraph, name: str, mode: str = "exact", unit_types:
     return _limit(u.orderBy("id"), limit)
 
 
-# -- 2, 3, 5, 6: dependencies, hierarchy, containment --------------------------------------------------------------
+# -- 2, 3, 5, 6: dependencies, hierarchy, containment
 
 
 def dependency_graph(graph: CodeGraph, unit_id=None, max_depth: int = 3, kinds: Sequence[str] = S.DEPENDENCY, transitive: bool = True) -> DataFrame:
@@ -84,10 +84,10 @@ def type_hierarchy(graph: CodeGraph, unit_id=None, ancestors: bool = True, desce
 
 def containment(graph: CodeGraph, unit_id=None) -> DataFrame:
     """(root, id, depth) of what a unit contains, at any depth."""
-    return traverse.bfs(graph, _roots(graph, unit_id), ("contains",), "out").where("depth > 0").select("root", "id", "depth")
+    return traverse.bfs(graph, _roots(graph, unit_id), ("contains",), "out", paths=False).where("depth > 0")
 
 
-# -- 4: call graph ------------------------------------------------------------------------------------------------
+# -- 4: call graph
 
 
 def call_graph(graph: CodeGraph, unit_id=None, direction: str = "both", max_depth: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +99,7 @@ def call_graph(graph: CodeGraph, unit_id=None, direction: str = "both", max_dept
     calls = graph.edges_of("calls")
     for way, far in (("callees", "out"), ("callers", "in")):
         if direction in (way, "both"):
-            reach = traverse.bfs(graph, _roots(graph, unit_id), ("calls",), far, max_depth)
+            reach = traverse.bfs(graph, _roots(graph, unit_id), ("calls",), far, max_depth, paths=False)
             nodes.append(reach.select("root", "id", "depth", F.lit(0 if far == "out" else 1).alias("rank")))
             at = "source_id" if far == "out" else "target_id"
             inner = reach.where(F.col("depth") < max_depth) if max_depth >= 0 else reach
@@ -112,7 +112,7 @@ def call_graph(graph: CodeGraph, unit_id=None, direction: str = "both", max_dept
     return nodes[0].select("root", "id", "depth"), sites[0]
 
 
-# -- 7: patterns --------------------------------------------------------------------------------------------------
+# -- 7: patterns
 
 _RULES = (
     re.compile(r"^async\s+function\s*(?:\{(?P<body>.*)\})?$"),
@@ -148,14 +148,14 @@ def pattern_match(graph: CodeGraph, pattern: str) -> DataFrame:
     return hit.select("id", F.lit(1.0).alias("confidence"), F.lit(text).alias("rule"))
 
 
-# -- 8, 22: vectors: operators/vectors.py --------------------------------------------------------------------------
+# -- 8, 22: vectors: operators/vectors.py
 
-# -- 9: impact ----------------------------------------------------------------------------------------------------
+# -- 9: impact
 
 
 def impact_analysis(graph: CodeGraph, unit_id=None, max_depth: int = 3, kinds: Sequence[str] = S.DEPENDENCY) -> DataFrame:
     """(root, id, depth, risk, has_tests) of everything that depends on a unit."""
-    reach = reverse_dependency(graph, unit_id, max_depth, kinds)
+    reach = traverse.bfs(graph, _roots(graph, unit_id), kinds, "in", max_depth, paths=False).where("depth > 0")
     out = reach.join(graph.in_degree("tests", name="tests"), "id", "left").join(graph.degree("couples_with", name="couples"), "id", "left")
     risk = F.lit(0.4) / (1 + F.col("depth")) + F.when(_n("tests") > 0, 0.2).otherwise(0.6) + F.least(F.lit(0.3), _n("couples") * 0.05)
     return out.select("root", "id", "depth", F.least(F.lit(1.0), risk).alias("risk"), (_n("tests") > 0).alias("has_tests"))
@@ -182,7 +182,7 @@ def ci_gate(graph: CodeGraph, unit_id=None, max_risk: float = 0.6, max_depth: in
     return j.withColumn("passed", (F.round("overall_risk", 9) <= max_risk) & (F.lit(not require_tests) | (F.col("untested") == 0)))
 
 
-# -- 10, 20: tests ------------------------------------------------------------------------------------------------
+# -- 10, 20: tests
 
 
 def test_coverage(graph: CodeGraph, unit_id: int | None = None) -> DataFrame:
@@ -211,7 +211,7 @@ def test_gap(graph: CodeGraph, min_changes: int = 5, min_complexity: int = 10, u
     return u.select("id", "change_count", "complexity", reason.alias("reason"), F.least(F.lit(1.0), part("change_count", min_changes) + part("complexity", min_complexity)).alias("priority")).orderBy(F.col("priority").desc(), "id")
 
 
-# -- 11: across languages -----------------------------------------------------------------------------------------
+# -- 11: across languages
 
 
 def cross_language_trace(graph: CodeGraph, unit_id=None, max_hops: int = 5) -> DataFrame:
@@ -227,7 +227,7 @@ def traced_languages(graph: CodeGraph, trace: DataFrame) -> DataFrame:
     return rows.groupBy("root").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["language"])).alias("languages"))
 
 
-# -- 12, 13, 14: usage, evolution, stability ----------------------------------------------------------------------
+# -- 12, 13, 14: usage, evolution, stability
 
 
 def collective_patterns(graph: CodeGraph, unit_type: str | None = None, min_usage: int = 1, limit: int = 20) -> DataFrame:
@@ -261,7 +261,7 @@ def stability_analysis(graph: CodeGraph, unit_id: int | None = None) -> DataFram
     return j.withColumn("advice", F.when(F.col("overall") > 0.7, "stable").when(F.col("overall") > 0.4, "watch").otherwise("stabilise"))
 
 
-# -- 15: coupling -------------------------------------------------------------------------------------------------
+# -- 15: coupling
 
 
 def coupling_detection(graph: CodeGraph, unit_id: int | None = None, min_strength: float = 0.5) -> DataFrame:
@@ -297,7 +297,7 @@ def hidden_coupling(graph: CodeGraph, unit_id: int | None = None, min_strength:
     return j.select(F.least("x", "y").alias("unit_a"), F.greatest("x", "y").alias("unit_b"), "strength")
 
 
-# -- 16: dead code ------------------------------------------------------------------------------------------------
+# -- 16: dead code
 
 
 def dead_code(graph: CodeGraph, unit_types: Sequence[str] = (), include_tests: bool = True, kinds: Sequence[str] = (), backward: bool = True) -> DataFrame:
@@ -308,14 +308,12 @@ def dead_code(graph: CodeGraph, unit_types: Sequence[str] = (), include_tests: b
     """
     is_root = ((F.col("unit_type") == "function") & ((F.col("name") == "main") | F.col("name").startswith("test_"))) | (F.col("unit_type") == "test") | (F.col("visibility") == "public")
     roots = graph.units.where(is_root).select("id")
-    live = traverse.closure(graph, roots, kinds, "out")
-    if backward:
-        live = live.unionByName(traverse.closure(graph, roots, kinds, "in"))
+    live = traverse.closure(graph, roots, kinds, "either" if backward else "out")
     dead = graph.units.where(_in("unit_type", unit_types)).join(live, "id", "left_anti")
     return (dead if include_tests else dead.where("unit_type <> 'test'")).orderBy("name", "id")
 
 
-# -- 17, 24: prophecy, hotspots -----------------------------------------------------------------------------------
+# -- 17, 24: prophecy, hotspots
 
 
 def prophecy(graph: CodeGraph, top_k: int = 10, min_risk: float = 0.3) -> DataFrame:
@@ -352,7 +350,7 @@ def hotspots(graph: CodeGraph, top_k: int = 10, min_score: float = 0.0, unit_typ
     return _limit(out.where(F.col("score") >= min_score).orderBy(F.round("score", 9).desc(), "id"), top_k)
 
 
-# -- 18, 19: concepts, migration ----------------------------------------------------------------------------------
+# -- 18, 19: concepts, migration
 
 
 def concept_mapping(graph: CodeGraph, concept: str) -> DataFrame:
@@ -385,7 +383,7 @@ def migration_path(graph: CodeGraph, source: int, target: int) -> DataFrame:
     return steps.unionByName(ends).select(F.row_number().over(order).alias("step"), "id", "action", labels.alias("safety")).orderBy("step")
 
 
-# -- 21: drift ----------------------------------------------------------------------------------------------------
+# -- 21: drift
 
 
 def _glob(pattern: str) -> Column:

@@ -66,7 +66,7 @@ def regression_predict(graph: CodeGraph, unit_id=None, max_depth: int = 5) -> Da
     """(root, test_id, probability, bucket): likely for a direct test (0.85), else 0.6 / (1 + 0.3 depth): recommended above 0.3, skip below."""
     roots = catalogue._roots(graph, unit_id)
     tests = graph.units.where("unit_type = 'test'").select("id")
-    reach = traverse.bfs(graph, roots, TEST_REACH, "in", max_depth).where("depth > 0").join(tests, "id", "left_semi").select("root", F.col("id").alias("test_id"), "depth")
+    reach = traverse.bfs(graph, roots, TEST_REACH, "in", max_depth, paths=False).where("depth > 0").join(tests, "id", "left_semi").select("root", F.col("id").alias("test_id"), "depth")
     direct = graph.edges_of("tests").select(F.col("target_id").alias("root"), F.col("source_id").alias("test_id"), F.lit(True).alias("direct")).distinct()
     j = reach.join(direct, ["root", "test_id"], "left")
     p = F.when(F.col("direct"), 0.85).otherwise(0.6 / (1 + 0.3 * F.col("depth")))
@@ -104,7 +104,7 @@ def health_status(report: DataFrame) -> DataFrame:
 def lite_impact(graph: CodeGraph, unit_id=None, max_depth: int = 3) -> DataFrame:
     """(root, id, depth, risk) over all edges but tests and documents: 1 / depth, halved where tested."""
     kinds = tuple(k for k in S.EDGE_TYPES if k not in ("tests", "documents"))
-    reach = traverse.bfs(graph, catalogue._roots(graph, unit_id), kinds, "in", max_depth).where("depth > 0").join(_tested(graph), "id", "left")
+    reach = traverse.bfs(graph, catalogue._roots(graph, unit_id), kinds, "in", max_depth, paths=False).where("depth > 0").join(_tested(graph), "id", "left")
     return reach.select("root", "id", "depth", ((F.lit(1.0) / F.col("depth")) * F.when(F.col("tested"), 0.5).otherwise(1.0)).alias("risk"))
 
 

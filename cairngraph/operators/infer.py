@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairngraph.functions import schema as S
 from cairngraph.graph import CodeGraph
+from cairngraph.operators import match
 
 #: Concepts and their words, first those that compilation extracts, then those that navigation knows.
 EXTRACTED = {
@@ -46,7 +47,7 @@ def _low(name: str) -> Column:
     return F.lower(F.coalesce(F.col(name), F.lit("")))
 
 
-# -- references -> edges -------------------------------------------------------------------------------------------
+# -- references -> edges
 
 
 def resolve(units: DataFrame, refs: DataFrame, stdlib: dict[str, str] | None = None) -> DataFrame:
@@ -109,7 +110,7 @@ def foreign_calls(refs: DataFrame) -> DataFrame:
     return refs.select("unit_id", "name", via.alias("via")).where("via is not null")
 
 
-# -- design patterns -----------------------------------------------------------------------------------------------
+# -- design patterns
 
 
 def design_patterns(units: DataFrame) -> DataFrame:
@@ -122,19 +123,19 @@ def design_patterns(units: DataFrame) -> DataFrame:
     fn = units.where("unit_type = 'function'").select(name.alias("fn"), _low("qualified_name").alias("fq"), (F.col("visibility") == "private").alias("hidden"))
     shared = F.col("fn").contains("instance") | F.col("fn").contains("shared") | (F.col("fn") == "default")
     made = F.col("fn").isin("__init__", "new", "constructor") & F.col("hidden")
-    member = F.col("fq").contains(F.col("type_name"))
-    s = types.join(fn.where(shared | made), member).groupBy("id").agg(F.max(F.when(shared, 1).otherwise(0)).alias("a"), F.max(F.when(made, 1).otherwise(0)).alias("b"))
+    inside = lambda t, f: match.contained(t.select("type_name"), f.select("fq")).join(t, F.col("word") == F.col("type_name")).join(f, F.col("text") == F.col("fq"))
+    s = inside(types, fn.where(shared | made)).groupBy("id").agg(F.max(F.when(shared, 1).otherwise(0)).alias("a"), F.max(F.when(made, 1).otherwise(0)).alias("b"))
     singleton = s.select(F.lit("Singleton").alias("pattern"), "id", ((F.col("a") + F.col("b")) / 2.0).alias("confidence"))
     factory = units.where("unit_type in ('function', 'type')").where(name.contains("factory") | name.rlike("^(build_|create_|make_|new$)")).select(F.lit("Factory").alias("pattern"), "id", F.when(name.contains("factory"), 0.9).otherwise(0.5).alias("confidence"))
     stores = types.where(F.greatest(*[F.col("type_name").contains(w) for w in ("repository", "repo", "dao", "store")]))
     crud = fn.where(F.col("fn").rlike(f"^({CRUD})"))
-    k = stores.join(crud, member).groupBy("id").agg(F.count("*").alias("k"))
+    k = inside(stores, crud).groupBy("id").agg(F.count("*").alias("k"))
     repository = stores.join(k, "id", "left").select(F.lit("Repository").alias("pattern"), "id", F.when(F.col("k") >= 3, 0.9).when(F.col("k") >= 1, 0.6).otherwise(0.4).alias("confidence"))
     decorator = units.where(F.greatest(*[name.contains(w) for w in ("decorator", "wrapper", "middleware")])).select(F.lit("Decorator").alias("pattern"), "id", F.when(name.contains("decorator"), 0.8).otherwise(0.5).alias("confidence"))
     return singleton.unionByName(factory).unionByName(repository).unionByName(decorator)
 
 
-# -- concepts ------------------------------------------------------------------------------------------------------
+# -- concepts
 
 
 def _concept_rows(units: DataFrame, table: dict[str, str], both: bool, bonus: float, least: float, strict: bool) -> DataFrame:
@@ -185,7 +186,7 @@ def navigation_confidence(rows: DataFrame) -> DataFrame:
     return g.select("concept", "units", F.least(F.lit(1.0), 0.6 * F.col("top") + F.least(F.lit(0.4), 0.1 * F.col("units"))).alias("confidence"))
 
 
-# -- architecture --------------------------------------------------------------------------------------------------
+# -- architecture
 
 
 def roles(units: DataFrame) -> DataFrame:
@@ -229,7 +230,7 @@ def architecture_anomalies(graph: CodeGraph) -> DataFrame:
     return graph.edges_of("calls").join(low, "source_id", "left_semi").join(high, "target_id", "left_semi").select("source_id", "target_id")
 
 
-# -- naming --------------------------------------------------------------------------------------------------------
+# -- naming
 
 
 def naming_patterns(units: DataFrame, least: int = 3) -> DataFrame:

@@ -37,7 +37,7 @@ def profile(graph: CodeGraph) -> DataFrame:
     return j.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("out_types", "in_types")})
 
 
-# -- reconstruction -----------------------------------------------------------------------------------------------
+# -- reconstruction
 
 
 def resurrect_search(graph: CodeGraph, query: str, limit: int = 20) -> DataFrame:
@@ -78,7 +78,7 @@ def resurrect_history(graph: CodeGraph) -> DataFrame:
     return e.join(u.select(F.col("id").alias("new_id"), F.col("name").alias("new_name")), "new_id").join(u.select(F.col("id").alias("old_id"), F.col("name").alias("old_name")), "old_id").select("new_id", "new_name", "old_id", "old_name")
 
 
-# -- genetics -----------------------------------------------------------------------------------------------------
+# -- genetics
 
 
 def naming_style(name: Column) -> Column:
@@ -95,7 +95,7 @@ def genetics_dna(graph: CodeGraph) -> DataFrame:
 def genetics_lineage(graph: CodeGraph, unit_id=None, max_depth: int = 5) -> DataFrame:
     """(root, id, depth): ancestors by containment, inheritance, version and implementation, at their shortest depth."""
     roots = graph.units.select("id") if unit_id is None else [unit_id]
-    return traverse.bfs(graph, roots, LINEAGE, "in", max_depth).where("depth > 0").select("root", "id", "depth")
+    return traverse.bfs(graph, roots, LINEAGE, "in", max_depth, paths=False).where("depth > 0")
 
 
 def genetics_mutations(graph: CodeGraph) -> DataFrame:
@@ -135,7 +135,7 @@ def genetics_diseases(graph: CodeGraph) -> DataFrame:
     return p.select("id", F.inline(found))
 
 
-# -- soul ---------------------------------------------------------------------------------------------------------
+# -- soul
 
 
 def soul_extract(graph: CodeGraph) -> DataFrame:
@@ -186,7 +186,7 @@ def soul_karma(graph: CodeGraph) -> DataFrame:
     return g.withColumn("level", F.when(F.col("karma") > 30, "enlightened").when(F.col("karma") > 10, "good").when(F.col("karma") > -10, "neutral").otherwise("troubled"))
 
 
-# -- across graphs: units with a column ``graph`` -----------------------------------------------------------------
+# -- across graphs: units with a column ``graph``
 
 
 def omniscience_search(units: DataFrame, query: str, limit: int = 20) -> DataFrame:

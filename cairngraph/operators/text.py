@@ -1,7 +1,7 @@
 """Claims about code held against the graph: references in text, evidence, citations, invented symbols, keyword search.
 
 ``claims`` is (claim_id, text). References are found by regular expressions in the JVM; evidence is an equi-join on
-names, and only what it doesn't find is compared by substring.
+names, and only what it doesn't find is looked up in an index of three letters; close names meet by prefix and length.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairngraph.functions import schema as S
 from cairngraph.graph import CodeGraph
+from cairngraph.operators import match
 
 STOP = frozenset(
     """a about above after again all an and are as at be because been before being below between both but by can could did do does down during each every few for from further had has have he her here him his how
@@ -46,7 +47,8 @@ def evidence(refs: DataFrame, units: DataFrame, unit_types: tuple[str, ...] = ()
     r = refs.select("ref").distinct()
     exact = r.join(u, F.col("ref") == F.col("name")).select("ref", "id", F.lit(1).alias("tier"))
     left = r.join(exact.select("ref").distinct(), "ref", "left_anti")
-    part = left.join(u, F.col("qualified_name").contains(F.col("ref"))).select("ref", "id", F.lit(2).alias("tier"))
+    held = match.contained(left, u.select("qualified_name"))
+    part = held.join(u, F.col("text") == F.col("qualified_name")).select(F.col("word").alias("ref"), "id", F.lit(2).alias("tier"))
     rest = left.join(part.select("ref").distinct(), "ref", "left_anti")
     case = rest.join(u, F.lower("ref") == F.lower("name")).select("ref", "id", F.lit(3).alias("tier"))
     return exact.unionByName(part).unionByName(case)
@@ -54,13 +56,7 @@ def evidence(refs: DataFrame, units: DataFrame, unit_types: tuple[str, ...] = ()
 
 def suggest_similar(refs: DataFrame, units: DataFrame, limit: int = 3) -> DataFrame:
     """(ref, name, distance, rank): names close to each ref: one a prefix of the other (distance 0), else an edit distance of 1 to half the ref's length."""
-    names = units.select("name").distinct()
-    r, low = F.lower("ref"), F.lower("name")
-    prefix = low.startswith(r) | r.startswith(low)
-    j = refs.select("ref").distinct().crossJoin(names)
-    d = F.when(prefix, 0).otherwise(F.levenshtein(r, low))
-    j = j.where(prefix | (F.abs(F.length("ref") - F.length("name")) <= F.floor(F.octet_length("ref") / 2))).withColumn("distance", d)
-    j = j.where(prefix | ((F.col("distance") > 0) & (F.col("distance") <= F.floor(F.octet_length("ref") / 2))))
+    j = match.close(refs.select("ref"), units.select("name"), 2).withColumnRenamed("word", "ref")
     rank = F.row_number().over(Window.partitionBy("ref").orderBy("distance", "name"))
     return j.withColumn("rank", rank).where(F.col("rank") <= limit).select("ref", "name", "distance", "rank")
 
@@ -87,9 +83,7 @@ def contradictions(claims: DataFrame, units: DataFrame) -> DataFrame:
     """(claim_id, ref, kind) of references without a unit of just that name: contradicted if a similar name exists, else not_found."""
     refs = extract_references(claims).select("claim_id", "ref").distinct()
     missing = refs.join(units.select(F.col("name").alias("ref")).distinct(), "ref", "left_anti")
-    r, low = F.lower("ref"), F.lower("name")
-    near = low.startswith(r) | r.startswith(low) | ((F.abs(F.length("ref") - F.length("name")) <= F.floor(F.octet_length("ref") / 3)) & (F.levenshtein(r, low) <= F.floor(F.octet_length("ref") / 3)))
-    similar = missing.select("ref").distinct().join(units.select("name").distinct(), near).select("ref").distinct().withColumn("similar", F.lit(True))
+    similar = match.close(missing.select("ref"), units.select("name"), 3).select(F.col("word").alias("ref")).distinct().withColumn("similar", F.lit(True))
     return missing.join(similar, "ref", "left").select("claim_id", "ref", F.when(F.col("similar"), "contradicted").otherwise("not_found").alias("kind"))
 
 
@@ -102,7 +96,8 @@ def sentences(claims: DataFrame) -> DataFrame:
 def hallucinations(claims: DataFrame, units: DataFrame) -> DataFrame:
     """(claim_id, sentence_no, ref, kind, severity): symbols that don't exist, and files that a sentence gives and the unit isn't in.
 
-    A sentence is cut at full stops, so a path is judged only where blanks or line ends keep it whole.
+    A sentence is cut at full stops and a path has one, so no path of a text reaches the second rule, as in the original
+    definition; it is kept for sentences that are cut otherwise.
     """
     s = sentences(claims).withColumn("key", F.concat_ws("-", "claim_id", "sentence_no"))
     refs = extract_references(s.select(F.col("key").alias("claim_id"), F.col("sentence").alias("text"))).select(F.col("claim_id").alias("key"), "ref").distinct()
@@ -134,7 +129,7 @@ def suggest_fixes(claims: DataFrame, units: DataFrame, limit: int = 5) -> DataFr
     return close.select("ref", "name").withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-# -- maintained truths ---------------------------------------------------------------------------------------------
+# -- maintained truths
 
 
 def check_truths(truths: DataFrame, units: DataFrame) -> DataFrame:
@@ -149,7 +144,7 @@ def truth_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.where(~F.col("was").eqNullSafe(F.col("now")))
 
 
-# -- keyword search ------------------------------------------------------------------------------------------------
+# -- keyword search
 
 
 def intent_of(query: str) -> str:

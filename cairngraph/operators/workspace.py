@@ -76,7 +76,7 @@ def _names(units: DataFrame) -> DataFrame:
     return units.select(F.lower("name").alias("name")).distinct()
 
 
-def compare_codebases(a: DataFrame, b: DataFrame) -> DataFrame:
+def compare_graphs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(common, only_a, only_b, similarity): one row; similarity is 2 common / (all a + all b)."""
     j = _names(a).withColumn("in_a", F.lit(1)).join(_names(b).withColumn("in_b", F.lit(1)), "name", "full_outer")
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
@@ -119,7 +119,7 @@ def migration_plan(a: CodeGraph, b: DataFrame) -> DataFrame:
     return j.select(F.row_number().over(Window.orderBy("rank", "id")).alias("step"), "id", "name", phase.alias("phase"), F.coalesce("dependencies", F.array().cast("array<string>")).alias("dependencies"))
 
 
-# -- translations: (source_symbol, target_symbol, status, notes, version) ------------------------------------------
+# -- translations: (source_symbol, target_symbol, status, notes, version)
 
 
 def translation_state(log: DataFrame) -> DataFrame:

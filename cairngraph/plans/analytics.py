@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairngraph.graph import CodeGraph
 from cairngraph.operators import history, impact, infer, insights, shaping, text, workspace
+from cairngraph.plans.core import roots
 from cairngraph.plans.projection import changes, graph
 from cairngraph.plans.registry import Registry, names, oracle, walk
 
@@ -62,7 +63,7 @@ def claims_of(g: CodeGraph) -> DataFrame:
 
 
 def contexts_of(g: CodeGraph) -> DataFrame:
-    """Each language's units as one codebase."""
+    """Each language's units as one context."""
     return g.units.withColumn("context", F.col("language")).withColumn("graph", F.col("language"))
 
 
@@ -130,24 +131,24 @@ def _impact(r: Registry, g) -> None:
         "behavior": "CASE WHEN id IN (SELECT id FROM t) THEN 'needs_review' ELSE 'might_break' END", "move": "CASE WHEN depth = 1 THEN 'might_break' ELSE 'safe' END",
     }
     for change, base in impact.BASE.items():
-        r.add(f"impact_{change}", g(lambda x, change=change: impact.analyze(x, None, change)), oracle("root:l id:l distance:l impact_type:s break_probability:d path:a", f"""
+        r.add(f"impact_{change}", g(lambda x, change=change: impact.analyze(x, roots(x), change)), oracle("root:l id:l distance:l impact_type:s break_probability:d path:a", f"""
             SELECT root, id, depth AS distance, {kind[change]} AS impact_type, {base}e0 / (1 + 5e-1 * depth) AS break_probability, list_reverse(path) AS path FROM reach WHERE depth > 0""", U, E, ctes=reach + "," + tested))
     radius = """rad AS MATERIALIZED (SELECT root, count(*) AS nodes, count(DISTINCT file_path) AS files, count(DISTINCT regexp_replace(qualified_name, '(\\.|::)[^.:]*$', '')) AS modules, sum((unit_type IN ('function', 'macro'))::INT) AS functions,
         sum((unit_type = 'test')::INT) AS tests, sum(greatest(1, end_line - start_line)) AS lines, sum((depth = 1)::INT) AS will_break FROM reach JOIN units u ON u.id = reach.id WHERE depth > 0 GROUP BY root)"""
     risk = "CASE WHEN will_break > 10 OR files > 20 THEN 'critical' WHEN will_break > 3 OR files > 10 OR nodes > 30 THEN 'high' WHEN will_break > 0 OR nodes > 10 THEN 'medium' ELSE 'low' END"
-    r.add("blast_radius", g(lambda x: impact.blast_radius(x, impact.analyze(x, None, "deletion"))), oracle("root:l nodes:l files:l modules:l functions:l tests:l lines:l will_break:l risk:s", f"SELECT *, {risk} AS risk FROM rad", U, E, ctes=reach + "," + radius))
-    r.add("impact_mitigations", g(lambda x: impact.mitigations(impact.blast_radius(x, impact.analyze(x, None, "deletion")), "deletion")), oracle("root:l advice:s", f"""
+    r.add("blast_radius", g(lambda x: impact.blast_radius(x, impact.analyze(x, roots(x), "deletion"))), oracle("root:l nodes:l files:l modules:l functions:l tests:l lines:l will_break:l risk:s", f"SELECT *, {risk} AS risk FROM rad", U, E, ctes=reach + "," + radius))
+    r.add("impact_mitigations", g(lambda x: impact.mitigations(impact.blast_radius(x, impact.analyze(x, roots(x), "deletion")), "deletion")), oracle("root:l advice:s", f"""
         SELECT root, 'deprecate before deleting' AS advice FROM rad UNION ALL SELECT root, 'roll out in steps' FROM rad WHERE {risk} IN ('high', 'critical') UNION ALL SELECT root, 'write tests first' FROM rad WHERE tests = 0""", U, E, ctes=reach + "," + radius))
-    reg = walk(impact.TEST_REACH, "in", 5, roots="SELECT id FROM units WHERE unit_type IN ('function', 'trait')") + """,
+    reg = walk(impact.TEST_REACH, "in", 5, roots="SELECT id FROM units WHERE unit_type IN ('function', 'trait') AND id % 50 = 0") + """,
         direct AS (SELECT DISTINCT target_id, source_id FROM edges WHERE edge_type = 'tests'),
         pred AS (SELECT root, r.id AS test_id, d.source_id IS NOT NULL AS direct, CASE WHEN d.source_id IS NOT NULL THEN 85e-2 ELSE 6e-1 / (1 + 3e-1 * depth) END AS probability FROM reach r JOIN units u ON u.id = r.id AND u.unit_type = 'test' LEFT JOIN direct d ON d.target_id = root AND d.source_id = r.id WHERE depth > 0)"""
-    code = lambda x: x.units.where("unit_type in ('function', 'trait')").select("id")
+    code = lambda x: x.units.where("unit_type in ('function', 'trait') and id % 50 = 0").select("id")
     r.add("regression_predict", g(lambda x: impact.regression_predict(x, code(x))), oracle("root:l test_id:l probability:d bucket:s", "SELECT root, test_id, probability, CASE WHEN direct THEN 'likely' WHEN probability > 3e-1 THEN 'recommended' ELSE 'skip' END AS bucket FROM pred", U, E, ctes=reg))
     r.add("minimal_test_set", g(lambda x: impact.minimal_test_set(x, code(x))), oracle("root:l test_id:l", "SELECT root, test_id FROM pred WHERE direct OR probability > 4e-1", U, E, ctes=reg))
     r.add("health_report", g(lambda x: impact.health(x)))
     r.add("health_status", g(lambda x: impact.health_status(impact.health(x, 0))))
     kinds = tuple(k for k in ("calls", "imports", "inherits", "implements", "contains", "uses_type", "couples_with", "breaks_with", "version_of", "ffi_binds"))
-    r.add("impact_lite", g(lambda x: impact.lite_impact(x, None, 2)), oracle("root:l id:l depth:l risk:d", "SELECT root, id, depth, 1e0 / depth * CASE WHEN id IN (SELECT id FROM t) THEN 5e-1 ELSE 1 END AS risk FROM reach WHERE depth > 0", U, E, ctes=walk(kinds, "in", 2) + "," + tested))
+    r.add("impact_lite", g(lambda x: impact.lite_impact(x, roots(x), 2)), oracle("root:l id:l depth:l risk:d", "SELECT root, id, depth, 1e0 / depth * CASE WHEN id IN (SELECT id FROM t) THEN 5e-1 ELSE 1 END AS risk FROM reach WHERE depth > 0", U, E, ctes=walk(kinds, "in", 2) + "," + tested))
     r.add("budget_projection", lambda spark, sf: impact.budget_projection(spark.read.parquet(f"{sf}/orders.parquet").select(F.unix_timestamp("o_orderdate").alias("mtime"), F.col("o_orderkey").alias("size")).groupBy("mtime").agg(F.max("size").cast("double").alias("size"))), oracle("bytes_now:d bytes_per_day:d projected:d", """
         SELECT s1 AS bytes_now, (s1 - s0) * 864e2 / (t1 - t0) AS bytes_per_day, greatest(0e0, s1 + (s1 - s0) * 864e2 / (t1 - t0) * 365) AS projected FROM (
           SELECT arg_min(size, mtime) AS s0, arg_max(size, mtime) AS s1, min(mtime) AS t0, max(mtime) AS t1 FROM (SELECT epoch(o_orderdate) AS mtime, max(o_orderkey) AS size FROM orders GROUP BY 1) x) y"""))
@@ -196,27 +197,44 @@ def _text(r: Registry, g) -> None:
         ground AS (SELECT claim_id, count(*) AS refs, sum((ref IN (SELECT ref FROM ev))::INT) AS supported FROM refs GROUP BY claim_id)"""
     base = _CLAIMS + ", " + refs
     r.add("extract_refs", g(lambda x: text.extract_references(claims_of(x))), oracle("claim_id:l pos:l ref:s", "SELECT * FROM refs", U, ctes=base))
-    r.add("find_evidence", g(lambda x: text.evidence(text.extract_references(claims_of(x)), x.units).groupBy("ref", "tier").agg(F.count("*").alias("n"))), oracle("ref:s tier:l n:l", "SELECT ref, tier, count(*) AS n FROM ev GROUP BY ref, tier", U, ctes=base))
+    r.add("find_evidence", g(lambda x: text.evidence(text.extract_references(claims_of(x)), x.units)), oracle("ref:s id:l tier:l", "SELECT * FROM ev", U, ctes=base))
+    r.add("find_evidence_by_type", g(lambda x: text.evidence(text.extract_references(claims_of(x)), x.units, ("test",))), oracle("ref:s id:l tier:l", "SELECT * FROM ev", U, ctes=base.replace("JOIN units u", "JOIN (SELECT * FROM units WHERE unit_type = 'test') u")))
     status = "CASE WHEN supported = 0 THEN 'ungrounded' WHEN supported = refs THEN 'verified' ELSE 'partial' END"
     r.add("ground_claims", g(lambda x: text.ground_claims(claims_of(x), x.units)), oracle("claim_id:l refs:l supported:l status:s confidence:d", f"SELECT *, {status} AS status, supported / CAST(refs AS DOUBLE) AS confidence FROM ground", U, ctes=base))
-    r.add("ground_claims_strict", g(lambda x: text.ground_claims(claims_of(x), x.units, strict=True).groupBy("status").agg(F.count("*").alias("n"))), oracle("status:s n:l", f"SELECT replace({status}, 'partial', 'ungrounded') AS status, count(*) AS n FROM ground GROUP BY 1", U, ctes=base))
-    r.add("citations", g(lambda x: text.citations(claims_of(x), x.units).groupBy("claim_id", "strength").agg(F.count("*").alias("n"))), oracle("claim_id:l strength:s n:l", "SELECT claim_id, ['direct', 'strong', 'partial'][tier] AS strength, count(*) AS n FROM (SELECT DISTINCT claim_id, ref FROM refs) q JOIN ev ON ev.ref = q.ref GROUP BY ALL", U, ctes=base))
+    r.add("ground_claims_strict", g(lambda x: text.ground_claims(claims_of(x), x.units, strict=True)), oracle("claim_id:l refs:l supported:l status:s confidence:d", f"SELECT *, replace({status}, 'partial', 'ungrounded') AS status, supported / CAST(refs AS DOUBLE) AS confidence FROM ground", U, ctes=base))
+    r.add("citations", g(lambda x: text.citations(claims_of(x), x.units)), oracle("claim_id:l ref:s id:l strength:s", "SELECT claim_id, ev.ref, id, ['direct', 'strong', 'partial'][tier] AS strength FROM (SELECT DISTINCT claim_id, ref FROM refs) q JOIN ev ON ev.ref = q.ref", U, ctes=base))
     near = "starts_with(lower(u.name), lower(m.ref)) OR starts_with(lower(m.ref), lower(u.name)) OR levenshtein(lower(m.ref), lower(u.name)) <= strlen(m.ref) // 3"
-    missing = base + f", m AS MATERIALIZED (SELECT DISTINCT ref FROM refs WHERE ref NOT IN (SELECT name FROM units)), close AS MATERIALIZED (SELECT DISTINCT ref FROM m JOIN (SELECT DISTINCT name FROM units WHERE unit_type <> 'test') u ON {near})"
-    r.add("contradictions", g(lambda x: text.contradictions(claims_of(x), x.units.where("unit_type <> 'test'")).where(~F.col("ref").startswith("test_"))), oracle("claim_id:l ref:s kind:s", "SELECT DISTINCT claim_id, ref, CASE WHEN ref IN (SELECT ref FROM close) THEN 'contradicted' ELSE 'not_found' END AS kind FROM refs WHERE ref IN (SELECT ref FROM m) AND NOT starts_with(ref, 'test_')", U, ctes=missing))
+    missing = base + f", m AS MATERIALIZED (SELECT DISTINCT ref FROM refs WHERE ref NOT IN (SELECT name FROM units)), close AS MATERIALIZED (SELECT DISTINCT ref FROM m JOIN (SELECT DISTINCT name FROM units) u ON {near})"
+    r.add("contradictions", g(lambda x: text.contradictions(claims_of(x), x.units)), oracle("claim_id:l ref:s kind:s", "SELECT DISTINCT claim_id, ref, CASE WHEN ref IN (SELECT ref FROM close) THEN 'contradicted' ELSE 'not_found' END AS kind FROM refs WHERE ref IN (SELECT ref FROM m)", U, ctes=missing))
     halluc = base + ", h AS (SELECT claim_id, 1 AS sentence_no, n4 AS ref FROM claims WHERE NOT odd AND lower(n4) NOT IN (SELECT lower(name) FROM units) UNION ALL SELECT claim_id, 0, n3 FROM claims WHERE n3 NOT IN (SELECT name FROM units))"
     r.add("hallucination_check", g(lambda x: text.hallucinations(claims_of(x), x.units)), oracle("claim_id:l sentence_no:l ref:s kind:s severity:s", "SELECT *, 'non_existent' AS kind, 'severe' AS severity FROM h", U, ctes=halluc))
     r.add("hallucination_report", g(lambda x: text.hallucination_report(claims_of(x), x.units)), oracle("claim_id:l sentences:l found:l score:d safe:b", """
         SELECT *, least(1e0, found / CAST(sentences AS DOUBLE)) AS score, least(1e0, found / CAST(sentences AS DOUBLE)) < 3e-1 AS safe FROM (SELECT claim_id, CASE WHEN odd THEN 1 ELSE 2 END AS sentences, (SELECT count(*) FROM h WHERE h.claim_id = c.claim_id) AS found FROM claims c) x""", U, ctes=halluc))
-    r.add("suggest_similar", g(lambda x: text.suggest_similar(text.extract_references(claims_of(x)).where(F.col("ref").startswith("ghost_")), x.units.where("unit_type in ('function', 'trait')"), 3)), oracle("ref:s name:s distance:l rank:l", """
+    r.add("suggest_similar", g(lambda x: text.suggest_similar(text.hallucinations(claims_of(x), x.units), x.units, 3)), oracle("ref:s name:s distance:l rank:l", """
         SELECT * FROM (SELECT ref, name, d AS distance, row_number() OVER (PARTITION BY ref ORDER BY d, name) AS rank FROM (
           SELECT ref, name, CASE WHEN starts_with(lower(name), lower(ref)) OR starts_with(lower(ref), lower(name)) THEN 0 ELSE levenshtein(lower(ref), lower(name)) END AS d, starts_with(lower(name), lower(ref)) OR starts_with(lower(ref), lower(name)) AS pre
-          FROM (SELECT DISTINCT ref FROM refs WHERE starts_with(ref, 'ghost_')) q, (SELECT DISTINCT name FROM units WHERE unit_type IN ('function', 'trait')) u) x WHERE pre OR d BETWEEN 1 AND strlen(ref) // 2) y WHERE rank <= 3""", U, ctes=base))
+          FROM (SELECT DISTINCT ref FROM h) q, (SELECT DISTINCT name FROM units) u) x WHERE pre OR d BETWEEN 1 AND strlen(ref) // 2) y WHERE rank <= 3""", U, ctes=halluc))
+    r.add("suggest_fixes", g(lambda x: text.suggest_fixes(claims_of(_cut_names(x)), x.units, 5)), oracle("ref:s name:s rank:l", f"""
+        SELECT * FROM (SELECT ref, name, row_number() OVER (PARTITION BY ref ORDER BY name) AS rank FROM (SELECT DISTINCT ref FROM gone) q JOIN (SELECT DISTINCT name FROM units) u ON starts_with(lower(name), lower(ref)) OR starts_with(lower(ref), lower(name))) x WHERE rank <= 5""", U, ctes=f"""
+        cut AS (SELECT id, id % 3 = 0 AS odd, left(name, strlen(name) - 2) AS name FROM units WHERE unit_type = 'function'),
+        said AS (SELECT name AS ref FROM cut UNION SELECT upper(name) FROM cut UNION SELECT concat('test_', CAST(id - 100000000 AS VARCHAR)) FROM cut UNION SELECT concat('ghost_', name) FROM cut WHERE NOT odd),
+        gone AS (SELECT ref FROM said WHERE lower(ref) NOT IN (SELECT lower(name) FROM units))"""))
+    r.add("truth_diff", g(lambda x: text.truth_diff(text.check_truths(claims_of(x), x.units), text.check_truths(claims_of(x), x.units.where("unit_type <> 'test'")))), oracle("claim_id:l was:s now:s", f"""
+        SELECT a.claim_id, a.state AS was, b.state AS now FROM ({_STATE}) a JOIN ({_STATE.replace("FROM ev)", "FROM ev WHERE id NOT IN (SELECT id FROM units WHERE unit_type = 'test'))")}) b ON a.claim_id = b.claim_id WHERE a.state <> b.state""", U, ctes=base))
     r.add("truth_states", g(lambda x: text.check_truths(claims_of(x), x.units)), oracle("claim_id:l state:s", "SELECT claim_id, CASE WHEN supported = refs THEN 'valid' WHEN supported = 0 THEN 'deleted' ELSE 'stale' END AS state FROM ground", U, ctes=base))
     r.add("keyword_search", g(lambda x: text.keyword_search(x, "find the function small bolt brand#1", 100)), oracle("id:l name:s relevance:d", _keyword_sql("find the function small bolt brand#1"), U))
     r.add("documents_search", lambda spark, sf: text.documents_search(spark.read.parquet(f"{sf}/documents.parquet"), "license copyright warranty software email", 100), oracle("doc_id:l hits:l", "SELECT doc_id, hits FROM (SELECT doc_id, " + " + ".join(f"contains(lower(coalesce(text, '')), '{w}')::INT" for w in ("license", "copyright", "warranty", "software", "email")) + " AS hits FROM documents) x WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 100"))
 
 
+#: A claim's state by what of its references has evidence.
+_STATE = """SELECT claim_id, CASE WHEN k = n THEN 'valid' WHEN k = 0 THEN 'deleted' ELSE 'stale' END AS state FROM (SELECT claim_id, count(*) AS n, sum((ref IN (SELECT ref FROM ev))::INT) AS k FROM refs GROUP BY claim_id) x"""
+
+
+def _cut_names(g: CodeGraph) -> CodeGraph:
+    """The graph with names that lack their last two letters, as claims may misspell them."""
+    return CodeGraph(g.units.withColumn("name", F.expr("left(name, length(name) - 2)")), g.edges)
+
+
 def _keyword_sql(query: str) -> str:
     s = " + ".join(f"CASE WHEN lower(name) = '{w}' THEN 5e-1 WHEN contains(lower(name), '{w}') THEN 3e-1 WHEN contains(lower(qualified_name), '{w}') THEN 15e-2 ELSE 0 END" for w in text.keywords(query))
     return f"SELECT * FROM (SELECT id, name, least(1e0, CASE WHEN unit_type = 'function' THEN 15e-2 ELSE 0 END + {s}) AS relevance FROM units) x WHERE relevance > 1e-1 ORDER BY round(relevance, 9) DESC, id LIMIT 100"
@@ -272,7 +290,7 @@ def _workspace(r: Registry, g) -> None:
           SELECT language AS context, id, unit_type, signature, row_number() OVER (PARTITION BY language ORDER BY id) AS no FROM units WHERE lower(name) = 'small_ring') x WHERE no = 1 WINDOW w AS (ORDER BY context ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""", U))
     r.add("cross_reference", g(lambda x: workspace.cross_reference(contexts_of(x), every)), oracle("name:s found_in:a missing_from:a", f"SELECT name, found_in, [x for x in {langs} if NOT list_contains(found_in, x)] AS missing_from FROM (SELECT lower(name) AS name, list_sort(list(DISTINCT language)) AS found_in FROM units GROUP BY 1) x", U))
     ab = "a AS (SELECT * FROM units WHERE language = 'Rust'), b AS (SELECT * FROM units WHERE language = 'Go')"
-    r.add("compare_codebases", g(lambda x: workspace.compare_codebases(_of(x, "Rust"), _of(x, "Go"))), oracle("common:l only_a:l only_b:l similarity:d", """
+    r.add("compare_graphs", g(lambda x: workspace.compare_graphs(_of(x, "Rust"), _of(x, "Go"))), oracle("common:l only_a:l only_b:l similarity:d", """
         SELECT *, 2e0 * common / (2 * common + only_a + only_b) AS similarity FROM (SELECT sum((x AND y)::INT) AS common, sum((x AND NOT y)::INT) AS only_a, sum((y AND NOT x)::INT) AS only_b FROM (
           SELECT n, bool_or(s = 1) AS x, bool_or(s = 2) AS y FROM (SELECT lower(name) AS n, 1 AS s FROM a UNION SELECT lower(name), 2 FROM b) z GROUP BY n) w) v""", U, ctes=ab))
     r.add("structural_diff", g(lambda x: workspace.structural_diff(_of(x, "Rust"), _of(x, "Go"))), oracle("directory:s only_a:a only_b:a", """
@@ -301,7 +319,7 @@ def _insights(r: Registry, g) -> None:
     r.add("resurrect_history", g(lambda x: insights.resurrect_history(x)), oracle("new_id:l new_name:s old_id:l old_name:s", "SELECT a.id AS new_id, a.name AS new_name, b.id AS old_id, b.name AS old_name FROM edges JOIN units a ON a.id = source_id JOIN units b ON b.id = target_id WHERE edge_type = 'version_of'", U, E))
     r.add("genetics_dna", g(lambda x: insights.genetics_dna(x)), oracle("id:l naming:s complexity:l is_async:b out_types:a in_types:a out_n:l in_n:l has_tests:b has_docs:b stability_score:d", """
         SELECT *, CASE WHEN contains(name, '_') THEN 'snake_case' WHEN regexp_matches(name, '^[A-Z]') THEN 'PascalCase' ELSE 'camelCase' END AS naming, tests > 0 AS has_tests, docs > 0 AS has_docs FROM prof""", U, E, ctes=p))
-    r.add("genetics_lineage", g(lambda x: insights.genetics_lineage(x, None, 5)), oracle("root:l id:l depth:l", "SELECT root, id, depth FROM reach WHERE depth > 0", U, E, ctes=walk(insights.LINEAGE, "in", 5)))
+    r.add("genetics_lineage", g(lambda x: insights.genetics_lineage(x, None, 5)), oracle("root:l id:l depth:l", "SELECT root, id, depth FROM reach WHERE depth > 0", U, E, ctes=walk(insights.LINEAGE, "in", 5, roots="SELECT id FROM units")))
     r.add("genetics_mutations", g(lambda x: insights.genetics_mutations(x)), oracle("id:l mutation:s severity:s", """
         SELECT id, 'complexity_mutation' AS mutation, 'medium' AS severity FROM prof WHERE complexity > 20 UNION ALL SELECT id, 'stability_mutation', 'high' FROM prof WHERE stability_score < 3e-1 AND change_count > 5 UNION ALL SELECT id, 'breaking_mutation', 'high' FROM prof WHERE breaks > 0
         UNION ALL SELECT id, 'naming_mutation', 'low' FROM k WHERE EXISTS (SELECT 1 FROM k s WHERE s.parent = k.parent AND s.unit_type = k.unit_type AND s.snake <> k.snake)""", U, E, ctes=p + ", k AS (SELECT DISTINCT source_id AS parent, u.id, unit_type, contains(name, '_') AS snake FROM edges JOIN units u ON u.id = target_id WHERE edge_type = 'contains')"))

@@ -9,7 +9,7 @@ from cairngraph.functions import schema as S
 from cairngraph.graph import CodeGraph
 from cairngraph.operators import catalogue, traverse, vectors
 from cairngraph.plans.projection import graph
-from cairngraph.plans.registry import Registry, names, oracle, walk
+from cairngraph.plans.registry import Registry, names, oracle, simple_paths, walk
 
 U, E = "units", "edges"
 DEP = names(S.DEPENDENCY)
@@ -21,6 +21,11 @@ def _on_graph(f):
     return lambda spark, sf_dir: f(graph(spark, sf_dir))
 
 
+def roots(g: CodeGraph) -> DataFrame:
+    """The queries of a traversal of many roots at once: every unit whose id is divisible by 50."""
+    return g.units.where("id % 50 = 0").select("id")
+
+
 def busiest(g: CodeGraph) -> int:
     """The unit with the most outgoing calls (ties: the smallest id)."""
     r = g.out_degree("calls").orderBy(F.col("n").desc(), "id").first()
@@ -29,7 +34,7 @@ def busiest(g: CodeGraph) -> int:
 
 def farthest(g: CodeGraph, source: int) -> int:
     """What a unit's calls reach in the most hops (ties: the smallest id)."""
-    return traverse.bfs(g, [source], ("calls",)).orderBy(F.col("depth").desc(), "id").first()["id"]
+    return traverse.flood(g, [source], ("calls",)).orderBy(F.col("depth").desc(), "id").first()["id"]
 
 
 _BUSIEST = "busiest AS MATERIALIZED (SELECT source_id AS id FROM edges WHERE edge_type = 'calls' GROUP BY source_id ORDER BY count(*) DESC, source_id LIMIT 1)"
@@ -43,7 +48,8 @@ def _path(g: CodeGraph) -> DataFrame:
 
 def _paths(g: CodeGraph) -> DataFrame:
     s = busiest(g)
-    return traverse.all_paths(g, s, farthest(g, s), 6, ("calls",))
+    third = traverse.flood(g, [s], ("calls",)).where("depth = 3").agg(F.min("id")).first()[0]
+    return traverse.all_paths(g, s, third, 4, ("calls",))
 
 
 def _coupling_of_one(g: CodeGraph) -> DataFrame:
@@ -54,6 +60,21 @@ def _cycle_core(g: CodeGraph) -> DataFrame:
     return traverse.cyclic_core(g.edges_of(*S.DEPENDENCY))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the busiest unit, by either stored order."""
+    x = graph(spark, sf_dir)
+    one = busiest(x)
+    out = x.edges_from(one).select(F.col("source_id").alias("id"), F.lit("out").alias("direction"), "edge_type", F.col("target_id").alias("other_id"))
+    return out.unionByName(x.edges_to(one).select(F.col("target_id").alias("id"), F.lit("in").alias("direction"), "edge_type", F.col("source_id").alias("other_id")))
+
+
+def _bad_edges(g: CodeGraph) -> DataFrame:
+    """A self-edge of every unit and an edge of every unit to one that isn't there."""
+    e = g.units.select(F.col("id").alias("source_id"), F.explode(F.array("id", -F.col("id") - 1)).alias("target_id"))
+    more = {"edge_type": F.lit("calls"), "weight": F.lit(1.0), "created_at": F.lit(0).cast("long"), "context": F.lit(0), "edge_ord": F.lit(99).cast("long")}
+    return e.withColumns(more).select(*S.EDGES.fieldNames())
+
+
 _DRIFT_RULES = (
     {"kind": "layer", "upper": "Brand#1", "lower": "Brand#2"}, {"kind": "boundary", "prefix": "Brand#3"},
     {"kind": "naming", "prefix": "Brand#4", "pattern": "*_bolt*"}, {"kind": "naming", "prefix": "tests.", "pattern": "test_*"},
@@ -95,7 +116,14 @@ def register(r: Registry) -> None:
     r.add("unit_details", g(lambda x: x.detail()), oracle("id:l direction:s edge_type:s other_id:l other_name:s", """
         SELECT source_id AS id, 'out' AS direction, edge_type, u.id AS other_id, u.name AS other_name FROM edges JOIN units u ON u.id = target_id
         UNION ALL SELECT target_id, 'in', edge_type, u.id, u.name FROM edges JOIN units u ON u.id = source_id""", U, E))
-    r.add("graph_export_json", g(lambda x: x.to_json().groupBy("kind").agg(F.count("*").alias("n"))), oracle("kind:s n:l", "SELECT 'unit' AS kind, count(*) AS n FROM units UNION ALL SELECT 'edge', count(*) FROM edges", U, E))
+    r.add("graph_export_json", g(lambda x: x.to_json()), oracle("kind:s json:s", """
+        SELECT 'unit' AS kind, '{"id":' || id || ',"unit_type":"' || unit_type || '","name":"' || name || '","qualified_name":"' || qualified_name || '","file_path":"' || file_path || '","language":"' || language || '","complexity":' || complexity || '}' AS json FROM units
+        UNION ALL SELECT 'edge', '{"source_id":' || source_id || ',"target_id":' || target_id || ',"edge_type":"' || edge_type || '","weight":' || CAST(weight AS DOUBLE) || '}' FROM edges""", U, E))
+    r.add("graph_import_json", g(lambda x: CodeGraph.of_json(x.to_json()).edges.select("source_id", "target_id", "edge_type", "weight")), oracle("source_id:l target_id:l edge_type:s weight:d", "SELECT * FROM edges", U, E))
+    r.add("stored_graph", _stored, oracle("id:l direction:s edge_type:s other_id:l", """
+        SELECT source_id AS id, 'out' AS direction, edge_type, target_id AS other_id FROM edges WHERE source_id = (SELECT id FROM busiest) UNION ALL SELECT target_id, 'in', edge_type, source_id FROM edges WHERE target_id = (SELECT id FROM busiest)""", U, E, ctes=_BUSIEST))
+    r.add("unit_by_id", g(lambda x: x.get(busiest(x)).select("id", "name", "unit_type", "complexity")), oracle("id:l name:s unit_type:s complexity:l", "SELECT id, name, unit_type, complexity FROM units WHERE id = (SELECT id FROM busiest)", U, E, ctes=_BUSIEST))
+    r.add("duplicate_edges", g(lambda x: CodeGraph(x.units, x.edges.unionByName(_bad_edges(x))).build(strict=False).edges.groupBy("edge_type").agg(F.count("*").alias("n"))), oracle("edge_type:s n:l", "SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type", U, E))
     r.add("rejected_edges", g(lambda x: x.rejected_edges().select("source_id", "target_id", "reason")), oracle("source_id:l target_id:l reason:s", "SELECT source_id, target_id, 'self_edge' AS reason FROM edges WHERE source_id = target_id", E))
 
     # -- 1: lookup
@@ -105,25 +133,26 @@ def register(r: Registry) -> None:
     ):
         r.add(f"symbol_{mode}", g(lambda x, mode=mode, name=name: catalogue.symbol_lookup(x, name, mode).select("id", "name", "unit_type")), oracle("id:l name:s unit_type:s", f"SELECT id, name, unit_type FROM units WHERE {where}", U))
 
-    # -- 2 to 6: traversals of all units at once
+    r.add("symbol_by_distance", g(lambda x: catalogue.symbol_lookup(x, "test_100", "fuzzy", by_distance=True, limit=50).select("id", "name", "distance")), oracle("id:l name:s distance:l", "SELECT id, name, levenshtein(lower(name), 'test_100') AS distance FROM units WHERE levenshtein(lower(name), 'test_100') <= 2 ORDER BY distance, id LIMIT 50", U))
+    # -- 2 to 6: traversals
     reach = "root:l id:l depth:l path:a"
-    r.add("dependency_graph", g(lambda x: catalogue.dependency_graph(x, None, 3)), oracle(reach, "SELECT * FROM reach WHERE depth > 0", U, E, ctes=walk(S.DEPENDENCY, "out", 3)))
-    r.add("reverse_dependency", g(lambda x: catalogue.reverse_dependency(x, None, 3)), oracle(reach, "SELECT * FROM reach WHERE depth > 0", U, E, ctes=walk(S.DEPENDENCY, "in", 3)))
+    r.add("dependency_graph", g(lambda x: catalogue.dependency_graph(x, roots(x), 3)), oracle(reach, "SELECT * FROM reach WHERE depth > 0", U, E, ctes=walk(S.DEPENDENCY, "out", 3)))
+    r.add("reverse_dependency", g(lambda x: catalogue.reverse_dependency(x, roots(x), 3)), oracle(reach, "SELECT * FROM reach WHERE depth > 0", U, E, ctes=walk(S.DEPENDENCY, "in", 3)))
     both = walk(("calls",), "out", 3, name="callees") + "," + walk(("calls",), "in", 3, name="callers")
-    r.add("call_graph_nodes", g(lambda x: catalogue.call_graph(x, None, "both", 3)[0]), oracle("root:l id:l depth:l", """
+    r.add("call_graph_nodes", g(lambda x: catalogue.call_graph(x, roots(x), "both", 3)[0]), oracle("root:l id:l depth:l", """
         SELECT root, id, depth FROM callees UNION ALL SELECT root, id, depth FROM callers r WHERE NOT EXISTS (SELECT 1 FROM callees c WHERE c.root = r.root AND c.id = r.id)""", U, E, ctes=both))
-    r.add("call_sites", g(lambda x: catalogue.call_graph(x, None, "both", 3)[1]), oracle("root:l caller_id:l callee_id:l line:l", """
+    r.add("call_sites", g(lambda x: catalogue.call_graph(x, roots(x), "both", 3)[1]), oracle("root:l caller_id:l callee_id:l line:l", """
         SELECT root, source_id AS caller_id, target_id AS callee_id, context AS line FROM callees JOIN edges ON source_id = id WHERE depth < 3 AND edge_type = 'calls'
         UNION ALL SELECT root, source_id, target_id, context FROM callers JOIN edges ON target_id = id WHERE depth < 3 AND edge_type = 'calls'""", U, E, ctes=both))
     kin = ("inherits", "implements")
     last = "(SELECT arg_min(e.edge_type, e.edge_ord) FROM edges e WHERE e.edge_type IN ('inherits', 'implements') AND {0})"
     r.add("type_hierarchy", g(lambda x: catalogue.type_hierarchy(x)), oracle("root:l id:l relation:s depth:l", f"""
         SELECT root, id, {last.format("e.source_id = path[-2] AND e.target_id = path[-1]")} AS relation, depth FROM up WHERE depth > 0
-        UNION ALL SELECT root, id, {last.format("e.target_id = path[-2] AND e.source_id = path[-1]")}, -depth FROM down WHERE depth > 0""", U, E, ctes=walk(kin, "out", name="up") + "," + walk(kin, "in", name="down")))
-    r.add("containment", g(lambda x: catalogue.containment(x)), oracle("root:l id:l depth:l", "SELECT root, id, depth FROM reach WHERE depth > 0", U, E, ctes=walk(("contains",))))
-    r.add("shortest_paths", g(lambda x: traverse.bfs(x, x.units.select("id"), ("calls",)).where("depth > 0").drop("via")), oracle(reach, "SELECT * FROM reach WHERE depth > 0", U, E, ctes=walk(("calls",))))
+        UNION ALL SELECT root, id, {last.format("e.target_id = path[-2] AND e.source_id = path[-1]")}, -depth FROM down WHERE depth > 0""", U, E, ctes=walk(kin, "out", roots="SELECT id FROM units", name="up") + "," + walk(kin, "in", roots="SELECT id FROM units", name="down")))
+    r.add("containment", g(lambda x: catalogue.containment(x)), oracle("root:l id:l depth:l", "SELECT root, id, depth FROM reach WHERE depth > 0", U, E, ctes=walk(("contains",), roots="SELECT id FROM units")))
+    r.add("shortest_paths", g(lambda x: traverse.bfs(x, roots(x), ("calls",)).where("depth > 0").drop("via")), oracle(reach, "SELECT * FROM reach WHERE depth > 0", U, E, ctes=walk(("calls",))))
     r.add("shortest_path", g(_path), oracle("found:b path:a edge_types:a length:l", "SELECT true AS found, path, ['calls' for x in range(depth)] AS edge_types, depth AS length FROM far WHERE id = (SELECT id FROM farthest)", U, E, ctes=_BUSIEST + "," + _FARTHEST))
-    r.add("all_paths", g(_paths), oracle("path:a length:l", "SELECT path, depth AS length FROM far_walk WHERE id = (SELECT id FROM farthest) AND depth BETWEEN 1 AND 6", U, E, ctes=_BUSIEST + "," + _FARTHEST))
+    r.add("all_paths", g(_paths), oracle("path:a length:l", "SELECT path, depth AS length FROM paths WHERE id = (SELECT id FROM third)", U, E, ctes=_BUSIEST + "," + _FARTHEST + ", third AS MATERIALIZED (SELECT min(id) AS id FROM far WHERE depth = 3)," + simple_paths(("calls",), 4, "SELECT id FROM busiest", "SELECT id FROM third")))
 
     # -- 7: patterns
     r.add("pattern_complexity", g(lambda x: catalogue.pattern_match(x, "function { complexity: >40 }")), oracle("id:l confidence:d rule:s", "SELECT id, 1 AS confidence, 'function { complexity: >40 }' AS rule FROM units WHERE unit_type = 'function' AND complexity > 40", U))
@@ -143,10 +172,10 @@ def register(r: Registry) -> None:
         least(1e0, 4e-1 / (1 + depth) + CASE WHEN coalesce(t.n, 0) > 0 THEN 2e-1 ELSE 6e-1 END + least(3e-1, coalesce(c.n, 0) * 5e-2)) AS risk
         FROM reach LEFT JOIN t ON t.id = reach.id LEFT JOIN c ON c.id = reach.id WHERE depth > 0),
       summed AS (SELECT root, count(*) AS impacted, sum(CASE WHEN has_tests THEN 0 ELSE 1 END) AS untested, least(1e0, avg(risk)) AS overall_risk FROM impact GROUP BY root)"""
-    r.add("impact_analysis", g(lambda x: catalogue.impact_analysis(x)), oracle("root:l id:l depth:l risk:d has_tests:b", "SELECT * FROM impact", U, E, ctes=impact))
-    r.add("impact_summary", g(lambda x: catalogue.impact_summary(catalogue.impact_analysis(x)).select("root", "impacted", "untested", "overall_risk")), oracle("root:l impacted:l untested:l overall_risk:d", "SELECT * FROM summed", U, E, ctes=impact))
-    r.add("ci_gate", g(lambda x: catalogue.ci_gate(x)), oracle("root:l overall_risk:d untested:l passed:b", """
-        SELECT u.id AS root, coalesce(s.overall_risk, 0) AS overall_risk, coalesce(s.untested, 0) AS untested, round(coalesce(s.overall_risk, 0), 9) <= 6e-1 AS passed FROM units u LEFT JOIN summed s ON s.root = u.id""", U, E, ctes=impact))
+    r.add("impact_analysis", g(lambda x: catalogue.impact_analysis(x, roots(x))), oracle("root:l id:l depth:l risk:d has_tests:b", "SELECT * FROM impact", U, E, ctes=impact))
+    r.add("impact_summary", g(lambda x: catalogue.impact_summary(catalogue.impact_analysis(x, roots(x))).select("root", "impacted", "untested", "overall_risk")), oracle("root:l impacted:l untested:l overall_risk:d", "SELECT * FROM summed", U, E, ctes=impact))
+    r.add("ci_gate", g(lambda x: catalogue.ci_gate(x, roots(x))), oracle("root:l overall_risk:d untested:l passed:b", """
+        SELECT u.id AS root, coalesce(s.overall_risk, 0) AS overall_risk, coalesce(s.untested, 0) AS untested, round(coalesce(s.overall_risk, 0), 9) <= 6e-1 AS passed FROM units u LEFT JOIN summed s ON s.root = u.id WHERE u.id % 50 = 0""", U, E, ctes=impact))
 
     # -- 10, 20: tests
     r.add("test_coverage", g(lambda x: catalogue.test_coverage(x)), oracle("id:l direct:a indirect:a ratio:d", """
@@ -162,8 +191,8 @@ def register(r: Registry) -> None:
 
     # -- 11: languages
     trace = walk(("ffi_binds",), "both", 5)
-    r.add("cross_language_trace", g(lambda x: catalogue.cross_language_trace(x)), oracle("root:l id:l depth:l language:s path:a", "SELECT root, reach.id, depth, language, path FROM reach JOIN units u ON u.id = reach.id WHERE depth > 0", U, E, ctes=trace))
-    r.add("traced_languages", g(lambda x: catalogue.traced_languages(x, catalogue.cross_language_trace(x))), oracle("root:l languages:a", """
+    r.add("cross_language_trace", g(lambda x: catalogue.cross_language_trace(x, roots(x))), oracle("root:l id:l depth:l language:s path:a", "SELECT root, reach.id, depth, language, path FROM reach JOIN units u ON u.id = reach.id WHERE depth > 0", U, E, ctes=trace))
+    r.add("traced_languages", g(lambda x: catalogue.traced_languages(x, catalogue.cross_language_trace(x, roots(x)))), oracle("root:l languages:a", """
         SELECT root, list(language ORDER BY o) AS languages FROM (
           SELECT root, language, min({'d': depth, 'p': path}) AS o FROM reach JOIN units u ON u.id = reach.id WHERE root IN (SELECT root FROM reach WHERE depth > 0) GROUP BY root, language) x GROUP BY root""", U, E, ctes=trace))
 
@@ -184,7 +213,7 @@ def register(r: Registry) -> None:
     jac = f"""uses AS (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type IN ({DEP})), sizes AS (SELECT source_id, count(*) AS n FROM uses GROUP BY source_id),
         shared AS (SELECT a.source_id AS x, b.source_id AS y, count(*) AS common FROM uses a JOIN uses b ON a.target_id = b.target_id AND a.source_id < b.source_id GROUP BY ALL),
         jac AS (SELECT x AS unit_a, y AS unit_b, common / CAST(p.n + q.n - common AS DOUBLE) AS strength FROM shared JOIN sizes p ON p.source_id = x JOIN sizes q ON q.source_id = y)"""
-    r.add("coupling_hidden", g(lambda x: catalogue.hidden_coupling(x, None, 0.5)), oracle("unit_a:l unit_b:l strength:d", "SELECT * FROM jac WHERE strength >= 5e-1", E, ctes=jac))
+    r.add("coupling_hidden", g(lambda x: catalogue.hidden_coupling(x, None, 0.1)), oracle("unit_a:l unit_b:l strength:d", "SELECT * FROM jac WHERE strength >= 1e-1", E, ctes=jac))
     r.add("coupling_of_unit", g(_coupling_of_one), oracle("unit_a:l unit_b:l strength:d kind:s", f"""
         SELECT unit_a, unit_b, -b.s AS strength, CASE b.k WHEN 0 THEN 'explicit' WHEN 1 THEN 'temporal' ELSE 'hidden' END AS kind FROM (SELECT unit_a, unit_b, min({{'k': k, 's': s}}) AS b FROM (
           SELECT {pair}, 0 AS k, -weight AS s FROM edges WHERE edge_type IN ({DEP}) AND weight >= 5e-2 AND source_id = (SELECT id FROM busiest)
@@ -197,6 +226,10 @@ def register(r: Registry) -> None:
         roots AS MATERIALIZED (SELECT id FROM units WHERE unit_type = 'function' AND (name = 'main' OR starts_with(name, 'test_')) OR unit_type = 'test' OR visibility = 'public'),
         {live("fwd", "source_id", "target_id")}, {live("bwd", "target_id", "source_id")}"""))
 
+    r.add("dead_code_by_calls", g(lambda x: catalogue.dead_code(x, kinds=("calls",), backward=False).select("id", "name", "unit_type")), oracle("id:l name:s unit_type:s", "SELECT id, name, unit_type FROM units WHERE id NOT IN (SELECT id FROM fwd)", U, E, ctes=f"""
+        roots AS MATERIALIZED (SELECT id FROM units WHERE unit_type = 'function' AND (name = 'main' OR starts_with(name, 'test_')) OR unit_type = 'test' OR visibility = 'public'),
+        {live("fwd", "source_id", "target_id").replace("JOIN edges e ON", "JOIN (SELECT * FROM edges WHERE edge_type = 'calls') e ON")}"""))
+
     # -- 17, 24: prophecy, hotspots
     r.add("prophecy", g(lambda x: catalogue.prophecy(x, 50, 0.3).select("id", "risk")), oracle("id:l risk:d", """
         SELECT id, risk FROM (SELECT u.id, least(1e0, CASE WHEN stability_score < 3e-1 THEN 4e-1 WHEN stability_score < 6e-1 THEN 2e-1 ELSE 0 END + CASE WHEN complexity > 20 THEN 3e-1 WHEN complexity > 10 THEN 15e-2 ELSE 0 END
@@ -220,10 +253,10 @@ def register(r: Registry) -> None:
     r.add("drift_conformance", g(lambda x: catalogue.conformance(catalogue.drift(x, _DRIFT_RULES), len(_DRIFT_RULES))), oracle("violated_rules:l conformance:d", "SELECT count(DISTINCT rule_index) AS violated_rules, 1 - count(DISTINCT rule_index) / 4e0 AS conformance FROM violations", U, E, ctes=_DRIFT_SQL))
     # a core that pruning leaves: an edge whose source is reachable from a cycle and whose target reaches one
     r.add("drift_cycle_core", g(_cycle_core), oracle("source_id:l target_id:l", """
-        SELECT source_id, target_id FROM dep WHERE (source_id IN (SELECT id FROM looped) OR source_id IN (SELECT b FROM far2 WHERE a IN (SELECT id FROM looped))) AND (target_id IN (SELECT id FROM looped) OR target_id IN (SELECT a FROM far2 WHERE b IN (SELECT id FROM looped)))""", E, ctes=f"""
+        SELECT source_id, target_id FROM dep WHERE (source_id IN (SELECT id FROM looped) OR source_id IN (SELECT id FROM after_loop)) AND (target_id IN (SELECT id FROM looped) OR target_id IN (SELECT id FROM before_loop))""", E, ctes=f"""
         dep AS MATERIALIZED (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type IN ({DEP})),
-        far2(a, b) AS (SELECT source_id, target_id FROM dep UNION SELECT f.a, d.target_id FROM far2 f JOIN dep d ON d.source_id = f.b),
-        looped AS (SELECT a AS id FROM far2 WHERE a = b)"""))
+        reachable(a, b) AS (SELECT source_id, target_id FROM dep UNION SELECT f.a, d.target_id FROM reachable f JOIN dep d ON d.source_id = f.b),
+        looped AS MATERIALIZED (SELECT a AS id FROM reachable WHERE a = b), after_loop AS MATERIALIZED (SELECT DISTINCT b AS id FROM reachable WHERE a IN (SELECT id FROM looped)), before_loop AS MATERIALIZED (SELECT DISTINCT a AS id FROM reachable WHERE b IN (SELECT id FROM looped))"""))
 
 
 def _most_called(g: CodeGraph) -> int:

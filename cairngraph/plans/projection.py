@@ -1,7 +1,11 @@
 """The star schema of the test tables seen as a graph: one SQL text that Spark and DuckDB both read.
 
-``graph(spark, sf_dir)`` builds the tables once per session and input and stores them in the shared folder, edges
-partitioned by type, as ``CodeGraph.save`` would.
+Every row of every table is a unit or part of one, and every line item becomes an edge: by its return flag a test of a
+part by an order, a part's use of a supplier, or a call of the part in the order's next line (of the last line, a
+breakage); the other columns give attributes.  Parts inherit within their brand and type along a heap (from the part of
+half the rank) and implement its first part; calls between parts of different languages are foreign bindings.
+
+``graph(spark, sf_dir)`` builds the tables once per session and input and stores them in the shared folder.
 """
 
 from __future__ import annotations
@@ -41,24 +45,24 @@ CTES = {
              CAST(p_size AS INT), p_partkey % 4 = 0, coalesce(n, 0), coalesce(stab, 1e0) FROM part LEFT JOIN part_stats ON k = p_partkey
       UNION ALL SELECT 1000000000 + o_orderkey, 'test', 'Python', concat('test_', CAST(o_orderkey AS STRING)), concat('tests.test_', CAST(o_orderkey AS STRING)), concat('tests/', o_orderpriority), 1, 10,
              NULL, NULL, 'unknown', 0, false, 0, 1e0 FROM orders""",
-    "brand_parts": """SELECT p_partkey AS k, lag(p_partkey) OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS prev, min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS first FROM part""",
+    "brand_parts": """SELECT p_partkey AS k, p_brand AS brand, p_type AS type, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS r, min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS first FROM part""",
     "order_parts": "SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem",
-    "call_lines": "SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_linenumber AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 35e0",
-    "calls": "SELECT a.p AS s, b.p AS t, CAST(min(10 * a.n) AS INT) AS line FROM call_lines a JOIN call_lines b ON a.o = b.o WHERE a.n < b.n AND a.p <> b.p GROUP BY a.p, b.p",
+    "lines": "SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_returnflag AS flag, l_linenumber AS n, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS following FROM lineitem",
+    "calls": "SELECT p AS s, following AS t, CAST(min(10 * n) AS INT) AS line FROM lines WHERE flag = 'R' AND following <> p GROUP BY p, following",
     "pairs": "SELECT a.p AS s, b.p AS t, count(*) AS n FROM order_parts a JOIN order_parts b ON a.o = b.o WHERE a.p < b.p GROUP BY a.p, b.p HAVING count(*) >= 2",
     "edge_rows": """
       SELECT CAST(n_regionkey AS BIGINT) AS source_id, CAST(1000 + n_nationkey AS BIGINT) AS target_id, 'contains' AS edge_type, 1e0 AS weight, 0 AS context, 6 AS code FROM nation
       UNION ALL SELECT CAST(1000 + s_nationkey AS BIGINT), 1000000 + s_suppkey, 'contains', 1e0, 0, 6 FROM supplier
       UNION ALL SELECT CAST(1000 + c_nationkey AS BIGINT), 10000000 + c_custkey, 'contains', 1e0, 0, 6 FROM customer
       UNION ALL SELECT 100000000 + s, 100000000 + t, 'calls', 1e0, line, 1 FROM calls
-      UNION ALL SELECT DISTINCT 100000000 + l_partkey, 1000000 + l_suppkey, 'uses_type', 1e0, 0, 16 FROM lineitem WHERE l_returnflag = 'N' AND l_quantity >= 49e0
-      UNION ALL SELECT DISTINCT 1000000000 + l_orderkey, 100000000 + l_partkey, 'tests', 1e0, 0, 8 FROM lineitem WHERE l_returnflag = 'A' AND l_discount >= 9e-2
+      UNION ALL SELECT DISTINCT 100000000 + p, 1000000 + s, 'uses_type', 1e0, 0, 16 FROM lines WHERE flag = 'N'
+      UNION ALL SELECT DISTINCT 1000000000 + o, 100000000 + p, 'tests', 1e0, 0, 8 FROM lines WHERE flag = 'A'
       UNION ALL SELECT 100000000 + s, 100000000 + t, 'couples_with', CAST(pairs.n AS DOUBLE) / CAST(greatest(x.n, y.n) AS DOUBLE), 0, 11 FROM pairs JOIN part_stats x ON x.k = s JOIN part_stats y ON y.k = t
-      UNION ALL SELECT 100000000 + k, 100000000 + prev, 'inherits', 1e0, 0, 3 FROM brand_parts WHERE k % 4 = 0 AND prev IS NOT NULL
-      UNION ALL SELECT 100000000 + k, 100000000 + first, 'implements', 1e0, 0, 4 FROM brand_parts WHERE k % 5 = 0 AND first <> k
-      UNION ALL SELECT DISTINCT 1000000 + l_suppkey, 100000000 + l_partkey, 'breaks_with', 1e0, 0, 12 FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 1e-1 AND l_quantity >= 48e0
-      UNION ALL SELECT 100000000 + s, 100000000 + t, 'ffi_binds', 1e0, 0, 15 FROM calls WHERE s % 8 <> t % 8 AND (s + t) % 3 = 0
-      UNION ALL SELECT 100000000 + p_partkey, 100000000 + p_partkey - 50, 'version_of', 1e0, 0, 14 FROM part WHERE p_partkey % 50 = 0 AND p_partkey > 50""",
+      UNION ALL SELECT 100000000 + a.k, 100000000 + b.k, 'inherits', 1e0, 0, 3 FROM brand_parts a JOIN brand_parts b ON a.brand = b.brand AND a.type = b.type AND a.r - a.r % 2 = 2 * b.r
+      UNION ALL SELECT 100000000 + k, 100000000 + first, 'implements', 1e0, 0, 4 FROM brand_parts WHERE first <> k
+      UNION ALL SELECT DISTINCT 1000000 + s, 100000000 + p, 'breaks_with', 1e0, 0, 12 FROM lines WHERE flag = 'R' AND (following IS NULL OR following = p)
+      UNION ALL SELECT 100000000 + s, 100000000 + t, 'ffi_binds', 1e0, 0, 15 FROM calls WHERE s % 8 <> t % 8
+      UNION ALL SELECT 100000000 + p_partkey, 100000000 + CAST((p_partkey - p_partkey % 2) / 2 AS BIGINT), 'version_of', 1e0, 0, 14 FROM part WHERE p_partkey > 0""",
     "edges": "SELECT source_id, target_id, edge_type, weight, context, row_number() OVER (PARTITION BY source_id, target_id ORDER BY code) AS edge_ord FROM edge_rows",
     "changes": """SELECT DISTINCT concat('part/', CAST(l_partkey AS STRING)) AS path, CASE WHEN l_linestatus = 'F' THEN 'modify' ELSE 'add' END AS change_type, CAST(l_orderkey AS STRING) AS commit_id,
         CAST({epoch} AS BIGINT) AS timestamp, concat('dev', CAST(l_suppkey AS STRING)) AS author, l_returnflag = 'R' AS is_bugfix, CAST(l_quantity AS INT) AS lines_added,

@@ -48,17 +48,39 @@ def names(values: tuple[str, ...] | list[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-def walk(kinds: tuple[str, ...], direction: str = "out", depth: int = 1000, roots: str = "SELECT id FROM units", name: str = "reach") -> str:
-    """CTEs that end in ``name`` (root, id, depth, path): every node's smallest shortest path from each root, by enumeration."""
+#: The queries of a traversal of many roots at once: every unit whose id is divisible by 50, over the whole graph.
+ROOTS = "SELECT id FROM units WHERE id % 50 = 0"
+
+
+def walk(kinds: tuple[str, ...], direction: str = "out", depth: int = 1_000_000, roots: str = ROOTS, name: str = "reach") -> str:
+    """CTEs that end in ``name`` (root, id, depth, path): every node's smallest shortest path from each root.
+
+    A keyed recursion: each (root, id) enters once, in the round of its depth, with the least of its paths.
+    """
+    return f"""
+{name}_steps AS MATERIALIZED ({_steps(kinds, direction)}),
+{name}(root, id, depth, path) USING KEY (root, id) AS (
+  SELECT id, id, 0, [id] FROM ({roots}) r
+  UNION SELECT root, to_id, b.d, b.p FROM (
+    SELECT w.root, s.to_id, min({{'d': w.depth + 1, 'p': list_append(w.path, s.to_id)}}) AS b FROM {name} w JOIN {name}_steps s ON s.at_id = w.id
+    WHERE w.depth < {depth} AND NOT EXISTS (SELECT 1 FROM recurring.{name} k WHERE k.root = w.root AND k.id = s.to_id) GROUP BY w.root, s.to_id) x)"""
+
+
+def simple_paths(kinds: tuple[str, ...], depth: int, source: str, target: str, name: str = "paths") -> str:
+    """CTEs that end in ``name`` (id, depth, path): the simple paths of at most ``depth`` edges from a unit that end in, or don't pass, another."""
+    return f"""
+{name}_steps AS MATERIALIZED ({_steps(kinds, "out")}),
+{name}(id, depth, path) AS (
+  SELECT id, 0, [id] FROM ({source}) r
+  UNION ALL SELECT s.to_id, w.depth + 1, list_append(w.path, s.to_id) FROM {name} w JOIN {name}_steps s ON s.at_id = w.id
+  WHERE w.depth < {depth} AND w.id <> ({target}) AND NOT list_contains(w.path, s.to_id))"""
+
+
+def _steps(kinds: tuple[str, ...], direction: str) -> str:
     where = f"WHERE edge_type IN ({names(kinds)})" if kinds else ""
     out, back = f"SELECT source_id AS at_id, target_id AS to_id FROM edges {where}", f"SELECT target_id AS at_id, source_id AS to_id FROM edges {where}"
     steps = {"out": out, "in": back, "both": f"{out} UNION ALL {back}"}[direction]
-    return f"""
-{name}_steps AS MATERIALIZED (SELECT DISTINCT at_id, to_id FROM ({steps}) s),
-{name}_walk(root, id, depth, path) AS (
-  SELECT id, id, 0, [id] FROM ({roots}) r
-  UNION ALL SELECT w.root, s.to_id, w.depth + 1, list_append(w.path, s.to_id) FROM {name}_walk w JOIN {name}_steps s ON s.at_id = w.id WHERE w.depth < {depth} AND NOT list_contains(w.path, s.to_id)),
-{name} AS (SELECT root, id, b.d AS depth, b.p AS path FROM (SELECT root, id, min({{'d': depth, 'p': path}}) AS b FROM {name}_walk GROUP BY root, id) g)"""
+    return f"SELECT DISTINCT at_id, to_id FROM ({steps}) s"
 
 
 class Registry:

@@ -163,9 +163,9 @@ def test_workspace(spark, g):
     assert rows(workspace.query_all(u, "payment"), "context", "id") == [("a", 1), ("a", 4), ("a", 5)]
     x = {r["name"]: (r["found_in"], r["missing_from"]) for r in workspace.cross_reference(u, w.contexts()).collect()}
     assert x["f0"] == (["b"], ["a"])
-    r = workspace.compare_codebases(g.units, g.units).first()
+    r = workspace.compare_graphs(g.units, g.units).first()
     assert (r["common"], r["only_a"], r["similarity"]) == (14, 0, 1.0)
-    assert workspace.compare_codebases(g.units, w.graphs["b"].units).first()["similarity"] == 0.0
+    assert workspace.compare_graphs(g.units, w.graphs["b"].units).first()["similarity"] == 0.0
     assert workspace.structural_diff(g.units, g.units).count() == 0
     plan = workspace.migration_plan(g, w.graphs["b"].units)
     assert [r["phase"] for r in plan.orderBy("step").collect()][:4] == ["types"] * 4
