@@ -6,7 +6,7 @@ Everything is aggregation by path or by commit; pairs of paths come from an equi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairngraph.functions import schema as S
@@ -142,6 +142,20 @@ def module_prophecy(graph: CodeGraph, prefix: str | None = None) -> DataFrame:
     return g.withColumn("prediction", F.when(F.col("avg_complexity") > 10, "complexity").when(F.col("changes") > 50, "instability").otherwise("healthy"))
 
 
+def pattern_prophecy(spark: SparkSession, *patterns: str) -> DataFrame:
+    """(pattern, prediction, probability, evidence_weight): patterns have no history of their own, so the answer is a constant."""
+    rows = [(p, "too little data about patterns", 0.5, 0.3) for p in patterns]
+    return spark.createDataFrame(rows, "pattern string, prediction string, probability double, evidence_weight double")
+
+
+def compare(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, predictions_a, predictions_b, confidence_a, confidence_b) of two tables of predictions, a row for each id of either."""
+    side = lambda df, s: df.select("id", F.col("predictions").alias(f"predictions_{s}"), F.col("confidence").alias(f"confidence_{s}"))
+    none = F.array().cast("array<string>")
+    j = side(a, "a").join(side(b, "b"), "id", "full_outer")
+    return j.select("id", F.coalesce("predictions_a", none).alias("predictions_a"), F.coalesce("predictions_b", none).alias("predictions_b"), "confidence_a", "confidence_b")
+
+
 def scenario(predictions: DataFrame, id_: int, prediction: str, confidence: float) -> DataFrame:
     """node predictions with one more, as if a change were made."""
     extra = predictions.sparkSession.createDataFrame([(id_, [prediction], confidence)], "id long, predictions array<string>, confidence double")
@@ -177,6 +191,22 @@ def investigate(graph: CodeGraph, changes: DataFrame, now: int) -> DataFrame:
     return j.select("id", F.col("file_path").alias("path"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("phase", F.lit("unknown")).alias("phase"), why.alias("why"))
 
 
+def explain_why(changes: DataFrame, now: int, recent_days: int = 30) -> DataFrame:
+    """(path, explanation): why a path is as it is, in sentences about age, fixes, authors, churn and stability."""
+    s = stability(changes, now, recent_days).select("path", "score")
+    p = path_stats(changes, now, recent_days).select("path", "n", "bugfixes", F.size("authors").alias("people"), "churn", F.floor((F.lit(now) - F.col("first")) / DAY).alias("age")).join(s, "path")
+    said = F.concat_ws(
+        " ",
+        F.when(F.col("age") > 365, F.concat(F.lit("Mature: first changed "), F.col("age").cast("string"), F.lit(" days ago."))).when(F.col("age") < 30, "New: less than 30 days old."),
+        F.when(F.col("bugfixes") / F.col("n") > 0.5, "More than half of its changes are fixes."),
+        F.when(F.col("people") > 3, F.concat(F.lit("Shared by "), F.col("people").cast("string"), F.lit(" authors."))).when(F.col("people") == 1, "Owned by one author."),
+        F.when(F.col("churn") > 500, F.concat(F.lit("Reworked: "), F.col("churn").cast("string"), F.lit(" lines changed."))),
+        F.when(F.col("score") < 0.3, "Volatile.").when(F.col("score") > 0.8, "Settled."),
+    )
+    usual = F.concat(F.lit("An ordinary history of "), F.col("n").cast("string"), F.lit(" changes."))
+    return p.select("path", F.when(said == "", usual).otherwise(said).alias("explanation"))
+
+
 def timeline(changes: DataFrame, path: str | None = None) -> DataFrame:
     """(path, timestamp, commit_id, author, change_type, is_bugfix) in order of time."""
     c = changes if path is None else changes.where(F.col("path") == path)

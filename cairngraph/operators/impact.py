@@ -108,6 +108,11 @@ def lite_impact(graph: CodeGraph, unit_id=None, max_depth: int = 3) -> DataFrame
     return reach.select("root", "id", "depth", ((F.lit(1.0) / F.col("depth")) * F.when(F.col("tested"), 0.5).otherwise(1.0)).alias("risk"))
 
 
+def impact_path(graph: CodeGraph, source: int, target: int) -> DataFrame:
+    """How a change of one unit reaches another: the smallest shortest path over all edges."""
+    return traverse.shortest_path(graph, source, target)
+
+
 def budget_projection(samples: DataFrame, days: int = 365) -> DataFrame:
     """(bytes_now, bytes_per_day, projected) of (mtime, size): the line through the first and the last sample."""
     g = samples.agg(F.min_by("size", "mtime").alias("s0"), F.max_by("size", "mtime").alias("s1"), F.min("mtime").alias("t0"), F.max("mtime").alias("t1"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairngraph.functions import schema as S
 
@@ -114,6 +115,36 @@ def content_id(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
+def serialise(log: DataFrame) -> DataFrame:
+    """(version, json, checksum): each row of a delta log as text, with a checksum of it."""
+    j = F.to_json(F.struct(*[F.col(f"`{c}`") for c in log.columns]))
+    return log.select("version", j.alias("json")).withColumn("checksum", F.sha2("json", 256))
+
+
+def deserialise(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """The log of serialised rows; rows that don't fit their checksum are left out."""
+    return rows.where(F.sha2("json", 256) == F.col("checksum")).select(F.from_json("json", schema).alias("r")).select("r.*")
+
+
+#: The operation that ends a session.
+SESSION_END = "session_end"
+
+
+def sessions(log: DataFrame) -> DataFrame:
+    """(session_id, started, last, operations, ended) of a log (session_id, timestamp, tool, summary); ended if its last row says so."""
+    over = F.col("tool") == SESSION_END
+    return log.groupBy("session_id").agg(F.min("timestamp").alias("started"), F.max("timestamp").alias("last"), F.sum(F.when(over, 0).otherwise(1)).alias("operations"), F.max_by(over, "timestamp").alias("ended"))
+
+
+def resume(log: DataFrame, session_id: str | None = None, n: int = 20) -> DataFrame:
+    """The last n operations of a session (none: the latest one), the newest first."""
+    if session_id is None:
+        last = log.orderBy(F.col("timestamp").desc(), "session_id").select("session_id").first()
+        session_id = last["session_id"] if last else None
+    own = log.where(F.col("session_id").eqNullSafe(F.lit(session_id)) & (F.col("tool") != SESSION_END))
+    return own.select("session_id", "timestamp", "tool", "summary").orderBy(F.col("timestamp").desc(), "tool").limit(n)
+
+
 def operation_log(log: DataFrame, n: int = 20) -> DataFrame:
     """The last n rows of (timestamp, tool, summary), the newest first."""
     return log.orderBy(F.col("timestamp").desc(), "tool").limit(n)

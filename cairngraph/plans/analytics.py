@@ -145,8 +145,6 @@ def _impact(r: Registry, g) -> None:
     code = lambda x: x.units.where("unit_type in ('function', 'trait') and id % 50 = 0").select("id")
     r.add("regression_predict", g(lambda x: impact.regression_predict(x, code(x))), oracle("root:l test_id:l probability:d bucket:s", "SELECT root, test_id, probability, CASE WHEN direct THEN 'likely' WHEN probability > 3e-1 THEN 'recommended' ELSE 'skip' END AS bucket FROM pred", U, E, ctes=reg))
     r.add("minimal_test_set", g(lambda x: impact.minimal_test_set(x, code(x))), oracle("root:l test_id:l", "SELECT root, test_id FROM pred WHERE direct OR probability > 4e-1", U, E, ctes=reg))
-    r.add("health_report", g(lambda x: impact.health(x)))
-    r.add("health_status", g(lambda x: impact.health_status(impact.health(x, 0))))
     kinds = tuple(k for k in ("calls", "imports", "inherits", "implements", "contains", "uses_type", "couples_with", "breaks_with", "version_of", "ffi_binds"))
     r.add("impact_lite", g(lambda x: impact.lite_impact(x, roots(x), 2)), oracle("root:l id:l depth:l risk:d", "SELECT root, id, depth, 1e0 / depth * CASE WHEN id IN (SELECT id FROM t) THEN 5e-1 ELSE 1 END AS risk FROM reach WHERE depth > 0", U, E, ctes=walk(kinds, "in", 2) + "," + tested))
     r.add("budget_projection", lambda spark, sf: impact.budget_projection(spark.read.parquet(f"{sf}/orders.parquet").select(F.unix_timestamp("o_orderdate").alias("mtime"), F.col("o_orderkey").alias("size")).groupBy("mtime").agg(F.max("size").cast("double").alias("size"))), oracle("bytes_now:d bytes_per_day:d projected:d", """
@@ -179,13 +177,6 @@ def _history(r: Registry, g, log) -> None:
     r.add("message_classes", lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").select(history.classify_message(F.concat("event_type", F.lit(" "), F.when(F.col("value") < 20, "fix").when(F.col("value") < 40, "new perf").otherwise("text"))).alias("class")).groupBy("class").agg(F.count("*").alias("n")), oracle("class:s n:l", """
         SELECT class, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(m, 'bug|fix|patch') THEN 'bugfix' WHEN regexp_matches(m, 'clean up|cleanup|refactor|rename') THEN 'refactor' WHEN regexp_matches(m, 'fast|optim|perf|speed') THEN 'performance' WHEN regexp_matches(m, 'add|feat|implement|new') THEN 'feature' ELSE 'unknown' END AS class
           FROM (SELECT lower(event_type || ' ' || CASE WHEN value < 20 THEN 'fix' WHEN value < 40 THEN 'new perf' ELSE 'text' END) AS m FROM events) x) y GROUP BY class"""))
-    r.add("archaeology", lambda spark, sf: _archaeology(spark, sf))
-
-
-def _archaeology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, c = graph(spark, sf_dir), changes(spark, sf_dir)
-    by_part = CodeGraph(g.units.withColumn("file_path", F.when(F.col("unit_type").isin("function", "trait"), F.concat(F.lit("part/"), (F.col("id") - 100_000_000).cast("string"))).otherwise(F.col("file_path"))), g.edges)
-    return history.investigate(by_part, c, _now(c))
 
 
 def _text(r: Registry, g) -> None:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import cache
 
-from cairngraph.plans import analytics, core, streams
+from cairngraph.plans import analytics, core, extra, streams
 from cairngraph.plans.registry import Query, Registry
 
 
 @cache
 def registry() -> Registry:
     r = Registry()
-    for module in (core, analytics, streams):
+    for module in (core, analytics, extra, streams):
         module.register(r)
     return r
 

@@ -47,6 +47,11 @@ def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["key", "ts", "author"])
 
 
+def totals(events: DataFrame) -> DataFrame:
+    """(key, n, fixes, churn): what ``running`` has come to when all events have arrived."""
+    return events.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.when(F.col("is_fix"), 1).otherwise(0)).alias("fixes"), F.sum(F.coalesce("size", F.lit(0))).alias("churn"))
+
+
 RUNNING = "key string, n long, fixes long, churn long"
 _STATE = "n long, fixes long, churn long"
 
