@@ -341,3 +341,79 @@ def test_streams(spark, tmp_path):
     done, every = rows(spark.read.parquet(str(tmp_path / "w"))), rows(stream.activity(events))
     assert done and set(done) <= set(every)
     assert stream.sessions(events, "15 minutes").count() == 20 and stream.sessions(events, "30 minutes").count() == 2
+
+
+# -- ignore rules, explanations, sessions, close names
+
+
+def test_ignore_rules(spark, tmp_path):
+    import subprocess
+
+    rules = {"": ["*.log", "/build", "docs/", "!keep.log", "a/**/b", "src/*.py", "x[0-9].c", "deep/**", "# no", "!deep/in.txt", "sp\\ ace.txt", "**/gen"], "sub": ["!*.log", "*.md", "/only.c"]}
+    names = ["a.log", "keep.log", "sub/b.log", "sub/keep.log", "build", "sub/build/x.py", "docs/r.py", "sub/docs", "a/b", "a/x/y/b", "src/m.py", "src/in/m.py", "x1.c", "xa.c", "deep/in.txt", "deep/er/f.c", "sub/n.md", "n.md", "sub/only.c", "only.c", "sub/in/only.c", "sp ace.txt", "q/gen/z.c", "build2/a.c"]
+    for folder, lines in rules.items():
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / ".gitignore").write_text("\n".join(lines) + "\n")
+    for n in names:
+        if n != "build" and not (tmp_path / n).exists():
+            (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / n).write_text("x")
+    files = scan.scan(spark, f"file://{tmp_path}")
+    got = {r["path"].removeprefix(f"{tmp_path}/") for r in files.where("skipped = 'ignored'").collect()} - {".gitignore", "sub/.gitignore"}
+    subprocess.run(["git", "init", "-q"], cwd=tmp_path, check=True)
+    said = subprocess.run(["git", "status", "--porcelain", "--ignored", "-uall"], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
+    want = {line[3:].strip('"') for line in said.splitlines() if line.startswith("!!")}
+    assert got == want and "sub/b.log" not in got and "deep/in.txt" not in got
+
+
+def test_explanations(spark):
+    log = [change("a", "modify", f"c{i}", 1000 + i, fix=True, added=200) for i in range(4)] + [change("b", "add", "c9", 0, author=f"p{i}") for i in range(5)]
+    c = spark.createDataFrame(log, S.CHANGES)
+    got = {r["path"]: r["explanation"] for r in history.explain_why(c, 500 * 86400).collect()}
+    assert got["a"].startswith("Mature: first changed 499 days ago. More than half of its changes are fixes. Owned by one author. Reworked: 800 lines changed.")
+    assert "Shared by 5 authors." in got["b"]
+    assert history.pattern_prophecy(spark, "Factory").first()["probability"] == 0.5
+
+
+def test_sessions(spark):
+    log = spark.createDataFrame([("s", 1, "look", "a"), ("s", 2, "find", "b"), ("t", 3, "look", "c"), ("t", 4, "session_end", None)], "session_id string, timestamp long, tool string, summary string")
+    assert rows(shaping.sessions(log)) == [("s", 1, 2, 2, False), ("t", 3, 4, 1, True)]
+    assert [r["summary"] for r in shaping.resume(log).collect()] == ["c"] and [r["summary"] for r in shaping.resume(log, "s", 1).collect()] == ["b"]
+    assert shaping.resume(log.limit(0)).count() == 0
+    delta = spark.createDataFrame([(1, 1, "modify", 2.5), (2, 2, "delete", None)], "key long, version long, change_type string, value double")
+    text = shaping.serialise(delta)
+    assert rows(shaping.deserialise(text, delta.schema).na.fill(0)) == rows(delta.na.fill(0))
+    assert shaping.deserialise(text.withColumn("json", F.lit("{}")), delta.schema).count() == 0
+
+
+def test_joins_by_index(spark):
+    """Containment and closeness against all pairs."""
+    import random
+
+    from cairngraph.operators import match
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abAB_") for _ in range(n))
+    words, texts = [word(rng.randrange(0, 7)) for _ in range(60)] + [None], [word(rng.randrange(0, 14)) for _ in range(60)] + [None]
+    w, t = spark.createDataFrame([(x,) for x in words], "w string"), spark.createDataFrame([(x,) for x in texts], "t string")
+    got = {tuple(r) for r in match.contained(w, t).collect()}
+    assert got == {(x, y) for x in words if x for y in texts if y and x in y}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for share in (2, 3):
+        want = set()
+        for x in {x for x in words if x is not None}:
+            for y in {y for y in texts if y is not None}:
+                a, b = x.lower(), y.lower()
+                if a.startswith(b) or b.startswith(a):
+                    want.add((x, y, 0))
+                elif (d := distance(a, b)) <= len(x) // share:
+                    want.add((x, y, d))
+        assert {tuple(r) for r in match.close(w, t, share).collect()} == want

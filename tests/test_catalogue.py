@@ -109,6 +109,56 @@ def test_paths(g):
     assert traverse.dfs(g, 10, ("calls",)) == [(10, 0), (1, 1), (2, 2), (3, 2)]
 
 
+def chain(spark, n):
+    """A unit that calls the next one, and imports the first every tenth time."""
+    u = spark.range(n).selectExpr("id", "'function' as unit_type", "concat('function_', id) as name")
+    calls = spark.range(1, n).selectExpr("id - 1 as source_id", "id as target_id", "'calls' as edge_type", "1 as edge_ord")
+    imports = spark.range(10, n, 10).selectExpr("id as source_id", "cast(0 as bigint) as target_id", "'imports' as edge_type", "1 as edge_ord")
+    return CodeGraph(u, calls.unionByName(imports))
+
+
+def test_long_chains(spark):
+    """Ten thousand hops take rounds by tiles, not by hops."""
+    n = 10_000
+    c = chain(spark, n)
+    r = traverse.shortest_path(c, 0, n - 1).first()
+    assert (r["found"], r["length"], r["path"], set(r["edge_types"])) == (True, n - 1, list(range(n)), {"calls"})
+    assert traverse.closure(c, spark.range(1), ("calls",)).count() == n
+    assert traverse.closure(c, spark.createDataFrame([(5000,)], "id long"), ("calls",), "either").count() == n
+    assert traverse.shortest_path(c, n - 1, 3, ("calls",)).first()["found"] is False
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_floods_and_paths(spark, seed):
+    """Distances and smallest paths on random graphs, in small tiles, against breadth-first search on lists."""
+    import random
+    from collections import deque
+
+    rng = random.Random(seed)
+    n = 60
+    edges = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(110)} - {(i, i) for i in range(n)})
+    out = {i: sorted(b for a, b in edges if a == i) for i in range(n)}
+
+    def search(roots):
+        depth, queue = dict.fromkeys(roots, 0), deque(roots)
+        while queue:
+            for y in out[x := queue.popleft()]:
+                if y not in depth:
+                    depth[y] = depth[x] + 1
+                    queue.append(y)
+        return depth
+
+    steps = spark.createDataFrame(edges, "at long, next long")
+    roots = [rng.randrange(n), rng.randrange(n)]
+    got = traverse.flood_steps(steps, spark.createDataFrame([(r,) for r in roots], "id long"), block=7, tile=5)
+    assert {r["id"]: r["depth"] for r in got.collect()} == search(roots)
+    g = CodeGraph(spark.range(n).selectExpr("id"), steps.selectExpr("at as source_id", "next as target_id", "'calls' as edge_type", "1 as edge_ord"))
+    smallest = {r["id"]: r["path"] for r in traverse.bfs(g, [roots[0]], ("calls",)).collect()}
+    far = max(smallest, key=lambda i: (len(smallest[i]), i))
+    assert traverse.shortest_path(g, roots[0], far).first()["path"] == smallest[far]
+    assert {r["id"]: r["depth"] for r in traverse.bfs(g, [roots[0]], ("calls",), paths=False).collect()} == {i: len(p) - 1 for i, p in smallest.items()}
+
+
 def test_unknown_ids(g):
     for call in (lambda: Q.dependency_graph(g, 999), lambda: traverse.shortest_path(g, 1, 999), lambda: Q.test_coverage(g, 999), lambda: Q.migration_path(g, 999, 1)):
         with pytest.raises(S.UnitNotFound):
@@ -153,6 +203,55 @@ def test_store(spark, tmp_path):
     assert rows(again.edges, "source_id", "target_id", "edge_type") == rows(g.edges, "source_id", "target_id", "edge_type")
 
 
+def test_versions(spark, tmp_path):
+    g = rich(spark)
+    g.save(str(tmp_path / "g"))
+    info = CodeGraph.info(spark, str(tmp_path / "g"))
+    assert (info["schema_version"], info["n_units"], info["n_edges"]) == (S.SCHEMA_VERSION, 14, 20) and info["bytes"] > 0
+    back = CodeGraph.load(spark, str(tmp_path / "g"))
+    assert rows(back.edges_to(1), "source_id", "edge_type") == rows(g.edges_to(1), "source_id", "edge_type") and back.has_edge(1, 2, "calls")
+    old = str(tmp_path / "old")
+    g.units.drop("content_hash", "complexity").write.parquet(old + "/units")
+    g.edges.drop("context").write.partitionBy("edge_type").parquet(old + "/edges")
+    spark.createDataFrame([(1, 14, 20)], "schema_version int, n_units long, n_edges long").write.json(old + "/meta")
+    early = CodeGraph.load(spark, old)
+    assert early.units.select("complexity").distinct().collect()[0][0] == 0 and early.edges.columns == S.EDGES.fieldNames()
+    with pytest.raises(S.StorageError):
+        CodeGraph.load(spark, old, "strict")
+    spark.createDataFrame([(99, 14, 20)], "schema_version int, n_units long, n_edges long").write.mode("overwrite").json(old + "/meta")
+    with pytest.raises(S.StorageError):
+        CodeGraph.load(spark, old)
+    assert CodeGraph.load(spark, old, "off").edges.count() == 20
+
+
+def test_tools(g):
+    from cairngraph.operators import facade
+
+    assert ids(facade.call(g, "core", "symbol_lookup", name="login")) == [10]
+    assert facade.call(g, "impact", "path", source=10, target=4).first()["path"] == [10, 1, 4]
+    with pytest.raises(S.QueryError, match="did you mean hotspots"):
+        facade.call(g, "query", "hotspot")
+    with pytest.raises(S.QueryError):
+        facade.call(g, "nothing", "x")
+
+
+def test_cache(spark):
+    from cairngraph.functions.cache import FrameCache
+
+    now = [0.0]
+    c = FrameCache(2, 10.0, lambda: now[0])
+    a = c.get("a", lambda: spark.range(3))
+    assert c.get("a") is a and a.is_cached and c.metrics.hit_rate == 0.5
+    c.put("b", spark.range(1))
+    c.get("a")
+    c.put("c", spark.range(2))
+    assert c.get("b") is None and c.metrics.evictions == 1 and len(c) == 2
+    now[0] = 11.0
+    assert c.get("a") is None and not a.is_cached
+    c.clear()
+    assert len(c) == 0
+
+
 def test_enhanced_impact(g):
     got = rows(impact.analyze(g, 2, "deletion"), "id", "distance", "impact_type")
     assert got == [(1, 1, "will_break"), (10, 2, "might_break")]

@@ -49,12 +49,24 @@ def test_entry(spark):
 
 
 def test_without_llm(tmp_path):
-    """The driver's contract holds when the training-data subpackage and the pipeline aren't there."""
+    """The driver's contract and the other tests hold when the training-data subpackage, its tests and the pipeline aren't there."""
     import shutil
 
-    for p in ("cairngraph", "__spark_entry__.py"):
+    for p in ("cairngraph", "tests", "__spark_entry__.py", "bench.py"):
         src = os.path.join(ROOT, p)
         (shutil.copytree if os.path.isdir(src) else shutil.copy)(src, tmp_path / p)
-    shutil.rmtree(tmp_path / "cairngraph/llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'hotspots' in q and 'pipeline' not in q and not any(k.startswith('op') and k[2:3].isdigit() for k in q); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+    for p in ("cairngraph/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / p, ignore_errors=True)
+    env = os.environ | {"PYTHONPATH": str(tmp_path)}
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'hotspots' in q and 'pipeline' not in q and not any(k.startswith('op') and k[2:3].isdigit() for k in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+    some = [sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_catalogue.py", "-k", "lookup or store or entry"]
+    subprocess.run(some, cwd=tmp_path, env=env, check=True, timeout=600)
+    found = subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "-p", "no:cacheprovider", "tests"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert found.returncode == 0, found.stdout[-2000:]
+
+
+def test_without_a_library(tmp_path):
+    """A library that only the training-data operators need may be missing."""
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert 'hotspots' in e.queries() and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": ROOT}, check=True, timeout=120)
