@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from cairngraph.functions import schema as S
-from cairngraph.functions.storage import shared_dir
+from cairngraph.functions.storage import Scratch, shared_dir
 from cairngraph.graph import CodeGraph
 
 _LANGS = ("Python", "Rust", "TypeScript", "JavaScript", "Go", "C++", "Java", "C#")
@@ -71,12 +71,12 @@ CTES = {
 _EPOCH = {"spark": "unix_timestamp(l_shipdate)", "duckdb": "epoch(l_shipdate)"}
 
 
-def sql(dialect: str, *names: str) -> str:
-    """A WITH clause of the named views and all they build on."""
+def sql(dialect: str, *names: str, stored: tuple[str, ...] = ()) -> str:
+    """A WITH clause of the named views and all they build on but the stored ones."""
     need: list[str] = []
 
     def visit(n: str) -> None:
-        if n in need:
+        if n in need or n in stored:
             return
         for other in CTES:
             if other != n and other in CTES[n].replace("(", " ").replace(",", " ").replace(")", " ").split():
@@ -90,15 +90,14 @@ def sql(dialect: str, *names: str) -> str:
     return text if dialect == "spark" else text.replace("AS STRING", "AS VARCHAR")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views as a DataFrame over the tables of sf_dir."""
-    text = sql("spark", name) + f"\nSELECT * FROM {name}"
-    frames = {}
+def view(spark: SparkSession, sf_dir: str, name: str, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One of the views as a DataFrame over the tables of sf_dir, and over other views that are stored already."""
+    text = sql("spark", name, stored=tuple(stored or ())) + f"\nSELECT * FROM {name}"
+    frames = dict(stored or {})
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
         frames[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
     for t, df in frames.items():
         df.createOrReplaceTempView(f"cairn_{t}")
-    for t in frames:
         text = _replace_word(text, t, f"cairn_{t}")
     return spark.sql(text)
 
@@ -125,8 +124,11 @@ def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """The projected graph, stored once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
-        _complete(view(spark, sf_dir, "units"), view(spark, sf_dir, "edges")).save(path)
+        path, scratch, stored = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}", Scratch(spark), {}
+        for name in ("lines", "calls"):  # several edge types are made of them
+            stored[name] = scratch.table(view(spark, sf_dir, name, stored), name)
+        _complete(view(spark, sf_dir, "units"), view(spark, sf_dir, "edges", stored)).save(path)
+        scratch.drop()
         _built[key] = path
     return CodeGraph.load(spark, _built[key])
 
