@@ -1,15 +1,16 @@
-"""Removal of long repeated passages with a run-length (r-) index.
-
-1. Anchors: each text's 16-word grams are winnowed - every window of LENGTH words keeps its least gram hash - so two
-   equal passages of LENGTH words share an anchor wherever they are.  Anchors that occur once are dropped by one
-   aggregation over narrow rows.
-2. Segments: around the anchors left, LENGTH words to either side, which holds every repeated passage whole. Segments
-   that share an anchor are one component; equal passages always lie in one component.
-3. A component's segments, in the order of doc_id, are streamed in blocks of bounded size. Within a block later
-   segments are compared with earlier ones by halves (1 with 1, 2 with 2, 4 with 4 ...), so each pair is compared once
-   and the work grows as n log n; the earlier half is compiled into the run-length index and the later half's
-   matching statistics are streamed over it. Places already known to repeat earlier text are indexed no more, so what
-   is held of a component that spans blocks is its distinct content.
+"""Removal of long repeated passages: equal windows of LENGTH words, brought together by the least gram that they hold.
+
+1. Windows: every window of LENGTH words of a text has a hash and a key, the least hash of its ANCHOR-word grams, so
+   equal windows have equal keys wherever they are. Successive windows mostly share their key, so a row holds a run of
+   them: key, place and their hashes.
+2. Blocks: a task compares the windows of some hundred thousand words at once. Of equal ones only the first (by doc_id,
+   then place) goes on; the others are spans already. So a passage that all documents share is one row a block.
+3. Keys: rows are dealt by key and read in the order of (key, doc_id, place), batch by batch; every window whose equal
+   came before in its key repeats. What is held is the distinct windows of one key, never those of a whole component of
+   documents that passages connect. A key with very many distinct windows (a short phrase of all documents, each time
+   in other text) isn't used: its windows are dealt by their own hashes. A sample finds such keys; the results
+   don't depend on it.
+4. Spans that touch are joined, document by document.
 """
 
 from __future__ import annotations
@@ -18,19 +19,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairngraph.llm._shared import Scratch, checked_join, components, free, releasing, repeated_ids
-from cairngraph.llm._text import Words, cut_words, grams, has_words, lower, mix64, plain, row_chunks
+from cairngraph.llm._shared import Scratch, checked_join, free, releasing, repeated_ids
+from cairngraph.llm._text import Words, cut_words, grams, has_words, lower, plain, row_chunks
 from cairngraph.llm.decontaminate import replace_text
-from cairngraph.llm.rindex import RunLengthIndex, window_hashes
+from cairngraph.llm.rindex import window_hashes
 
 #: Words of a passage that counts as repeated; words of an anchor; words in a block.
 LENGTH, ANCHOR, BLOCK = 50, 16, 400_000
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-SPANS = "doc_id long, first_word int, end_word int, n_words int, source_doc_id long"
+#: Distinct windows of a key, as estimated from one document of SAMPLE, beyond which they are dealt one by one.
+CROWD, SAMPLE = 500_000, 64
+#: A run of windows (windows is their hashes, end_word null), or a span found already (windows null).
+RUNS = "key long, doc_id long, first_word int, end_word int, source_doc_id long, windows binary"
+FOUND = "doc_id long, first_word int, end_word int, source_doc_id long"
 
 
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -42,229 +47,152 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(y[:-rest], y[rest:]) if rest else y
 
 
-def winnow(words: Words, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in ``words``, hashes) of the grams that are the least of some window of ``length`` words."""
-    g, width = grams(words.hash, anchor), length - anchor + 1
-    if len(g) < width:
-        return np.zeros(0, np.int64), g[:0]
-    row = words.row[: len(g)]
-    g[(row != words.row[anchor - 1 : anchor - 1 + len(g)]) | (words.counts[row] < length)] = _NONE
-    least = _slide(g, width, np.minimum)
-    pad = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero((_slide(np.r_[pad, least, pad], width, np.maximum) == g) & (g != _NONE))
-    return at, g[at]
-
+def windows(words: Words, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words in ``words``, hashes, keys) of the windows of ``length`` words that lie in one row."""
+    if len(words.hash) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    at = np.flatnonzero(words.row[: len(words.row) - length + 1] == words.row[length - 1 :])
+    least = _slide(grams(words.hash, anchor), length - anchor + 1, np.minimum)
+    return at, window_hashes(words.hash, length)[at], least[at]
+
+
+def _spans(doc: np.ndarray, first: np.ndarray, source: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(doc, first word, end word, source) of the spans under windows that repeat; successive ones that touch are one."""
+    step = np.diff(first)
+    begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (step <= 0) | (step > length)])
+    last = np.r_[begin[1:], len(doc)] - 1
+    return doc[begin], first[begin].astype(np.int32), (first[last] + length).astype(np.int32), source[begin]
+
+
+def _block(doc: np.ndarray, first: np.ndarray, whole: np.ndarray, key: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """Spans of the windows whose equal comes before in the block; runs of the others."""
+    if (doc[1:] < doc[:-1]).any():
+        order = np.argsort(doc, kind="stable")
+        doc, first, whole, key = doc[order], first[order], whole[order], key[order]
+    n = len(doc)
+    order = np.argsort(whole)
+    begin = np.flatnonzero(np.r_[True, np.diff(whole[order]) != 0])
+    source = np.empty(n, np.int64)
+    source[order] = np.repeat(np.minimum.reduceat(order, begin), np.diff(np.r_[begin, n]))
+    again = (source != np.arange(n)) & (key[source] == key)
+    names = [x.split()[0] for x in RUNS.split(", ")]
+    if again.any():
+        d, a, b, s = _spans(doc[again], first[again], doc[source[again]], length)
+        arrays = [pa.array(d), pa.array(d), pa.array(a), pa.array(b), pa.array(s), pa.nulls(len(d), pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+    if not again.all():
+        doc, first, whole, key = doc[~again], first[~again], whole[~again], key[~again]
+        begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (np.diff(first) != 1) | (key[1:] != key[:-1])])
+        ends = (np.r_[begin, len(doc)] * 8).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(whole)])
+        m = len(begin)
+        arrays = [pa.array(key[begin].view(np.int64)), pa.array(doc[begin]), pa.array(first[begin].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), runs]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def _runs(length: int, anchor: int, block: int, crowded: np.ndarray):
+    """Texts to runs and spans; ``crowded`` (sorted) are the keys that aren't used."""
 
-def _anchors(length: int, anchor: int):
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             ids, text = batch.column(0).to_numpy(zero_copy_only=False), lower(batch.column(1))
             for i, j in row_chunks(text):
                 words = Words(text[i:j])
-                at, g = winnow(words, length, anchor)
+                at, whole, key = windows(words, length, anchor)
+                if len(crowded):
+                    alone = crowded[np.minimum(np.searchsorted(crowded, key), len(crowded) - 1)] == key
+                    key = np.where(alone, whole, key)
                 row = words.row[at]
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids[i:j][row].astype(np.int64)), pa.array((at - words.first[row]).astype(np.int32))], names=["hash", "doc_id", "pos"])
+                    held.append((ids[i:j][row].astype(np.int64), at - words.first[row], whole, key))
+                    n += len(at)
+                if n >= block:
+                    yield from _block(*(np.concatenate(x) for x in zip(*held, strict=True)), length)
+                    held, n = [], 0
+        if held:
+            yield from _block(*(np.concatenate(x) for x in zip(*held, strict=True)), length)
 
     return run
 
 
-@releasing
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, segments) to (comp, doc_id, first, words), words as 64-bit hashes."""
-    for batch in batches:
-        ids, segments = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        text = lower(batch.column(1))
-        for i, j in row_chunks(text):
-            words = Words(text[i:j])
-            out = []
-            for r in range(j - i):
-                own = words.hash[words.first[r] : words.first[r + 1]]
-                for s in segments[i + r]:
-                    a = max(0, s["first"])
-                    out.append((s["comp"], ids[i + r], a, own[a : s["end"]].tobytes()))
-            if out:
-                c = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary())], names=["comp", "doc_id", "first", "words"])
-
-
-class _Segment:
-    __slots__ = ("comp", "doc", "first", "open", "rank", "source", "words")
-
-    def __init__(self, comp: int, doc: int, first: int, words: np.ndarray, length: int):
-        self.comp, self.doc, self.first, self.words, self.rank = comp, doc, first, words, 0
-        n = max(0, len(words) - length + 1)
-        self.open = np.ones(n, bool)  # windows that aren't known to occur earlier
-        self.source = np.full(n, -1, np.int64)
-
-    def close(self, at: np.ndarray, sources: np.ndarray) -> None:
-        self.open[at] = False
-        self.source[at] = sources
-
-    def pieces(self, length: int) -> list[tuple[int, int]]:
-        """Ranges of words under the open windows."""
-        turn = np.flatnonzero(np.diff(np.r_[False, self.open, False]))
-        merged: list[list[int]] = []
-        for a, b in zip(turn[::2].tolist(), (turn[1::2] + length - 1).tolist(), strict=True):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = b
-            else:
-                merged.append([a, b])
-        return [(a, b) for a, b in merged]
-
-
-def _stream(index: RunLengthIndex, segments: list[_Segment], salts: list[np.uint64], length: int) -> None:
-    where = [(s, salt, a, b) for s, salt in zip(segments, salts, strict=True) for a, b in s.pieces(length)]
-    if not where:
-        return
-    found = index.matches([s.words[a:b] ^ salt for s, salt, a, b in where], length)
-    for (s, _, a, _), f in zip(where, found, strict=True):
-        hit = np.flatnonzero(f >= 0)
-        hit = hit[s.open[a + hit]]
-        s.close(a + hit, f[hit])
-
-
-def _index(segments: list[_Segment], salts: list[np.uint64], length: int) -> RunLengthIndex | None:
-    where = [(s, salt, a, b) for s, salt in zip(segments, salts, strict=True) for a, b in s.pieces(length)]
-    if not where:
-        return None
-    return RunLengthIndex([s.words[a:b] ^ salt for s, salt, a, b in where], [np.full(b - a, s.doc) for s, _, a, b in where])
-
+def _repeated(length: int):
+    """Runs in the order of (key, doc_id, first_word) to the spans of windows whose equal came before."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
 
-class Marker:
-    """Marks repeats in segments that arrive ordered by component, doc_id and place."""
-
-    def __init__(self, length: int, block: int):
-        self.length, self.block = length, block
-        self.waiting: list[_Segment] = []
-        self.size = 0
-        self.carried: list[RunLengthIndex] = []  # of the component that the last block ended in
-        self.carried_comp: int | None = None
-
-    def add(self, comp: int, doc: int, first: int, words: np.ndarray) -> list[tuple]:
-        out = []
-        if self.size + len(words) > self.block and self.waiting:
-            out = self.flush(comp)
-        self.waiting.append(_Segment(comp, doc, first, words, self.length))
-        self.size += len(words)
-        return out
-
-    def flush(self, next_comp: int | None = None) -> list[tuple]:
-        segments, self.waiting, self.size = self.waiting, [], 0
-        zero = np.uint64(0)
-        seen: dict[tuple[int, bytes], _Segment] = {}
-        for s in segments:  # equal segments, and repeats within one
-            key = (s.comp, s.words.tobytes())
-            if (old := seen.setdefault(key, s)) is not s:
-                s.close(np.arange(len(s.open)), np.full(len(s.open), old.doc))
-                continue
-            h = window_hashes(s.words, self.length)
-            if len(h):
-                _, first = np.unique(h, return_index=True)
-                again = np.ones(len(h), bool)
-                again[first] = False
-                s.close(np.flatnonzero(again), np.full(int(again.sum()), s.doc))
-        if segments and segments[0].comp == self.carried_comp:
-            own = [s for s in segments if s.comp == self.carried_comp]
-            for index in self.carried:
-                _stream(index, own, [zero] * len(own), self.length)
-        live: dict[int, list[_Segment]] = {}
-        for s in segments:
-            if s.open.any():
-                own = live.setdefault(s.comp, [])
-                s.rank = len(own)
-                own.append(s)
-        level = 0
-        while True:
-            half, left, right = 1 << level, [], []
-            for comp, own in live.items():
-                if len(own) <= half:
-                    continue
-                for s in own:
-                    pair = s.rank >> (level + 1)
-                    if (pair << (level + 1)) + half < len(own):
-                        salt = mix64(np.array([(comp & 0xFFFFFFFF) * 1_000_003 + pair], np.uint64))[0]
-                        (right if s.rank & half else left).append((s, salt))
-            if not right:
-                break
-            index = _index([s for s, _ in left], [x for _, x in left], self.length)
-            if index is not None:
-                _stream(index, [s for s, _ in right], [x for _, x in right], self.length)
-            level += 1
-        if segments and segments[-1].comp == next_comp:
-            if self.carried_comp != next_comp:
-                self.carried = []
-            self.carried_comp = next_comp
-            own = [s for s in segments if s.comp == next_comp]
-            index = _index(own, [zero] * len(own), self.length)
-            if index is not None:
-                self.carried.append(index)
-        else:
-            self.carried, self.carried_comp = [], None
-        out = []
-        for s in segments:
-            turn = np.flatnonzero(np.diff(np.r_[False, ~s.open, False]))
-            last: list | None = None
-            for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
-                a, b, source = s.first + a, s.first + b + self.length - 1, int(s.source[a])
-                if last and a <= last[2]:
-                    last[2] = b
-                else:
-                    out.append(last := [s.doc, a, b, 0, source])
-        for x in out:
-            x[3] = x[2] - x[1]
-        return [tuple(x) for x in out]
-
-
-def _marker(length: int, block: int):
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marker = Marker(length, block)
-
-        def rows(spans: list[tuple]) -> Iterator[pa.RecordBatch]:
-            if spans:
-                c = zip(*spans, strict=True)
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["doc_id", "first_word", "end_word", "n_words", "source_doc_id"])
-
+        last, held, held_doc = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)  # distinct windows of the last key
         for batch in batches:
-            for comp, doc, first, words in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                yield from rows(marker.add(comp, doc, first, np.frombuffer(words, np.uint64)))
-        yield from rows(marker.flush())
+            found = batch.column(5).is_null()
+            if found.true_count:
+                own = batch.filter(found)
+                yield pa.RecordBatch.from_arrays([own.column(k) for k in range(1, 5)], names=names)
+                batch = batch.filter(pc.invert(found))
+            if not batch.num_rows:
+                continue
+            key, doc, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            if key[0] != last:
+                held, held_doc = held[:0], held_doc[:0]
+            last = key[-1]
+            same = key[1:] == key[:-1]
+            need = np.r_[len(held) > 0, same] | np.r_[same, True]  # a run alone in its key repeats nothing
+            kept = batch.column(5).filter(pa.array(need)).cast(pa.large_binary())
+            key, doc, first = key[need], doc[need], first[need]
+            ends = np.frombuffer(kept.buffers()[1], np.int64)[kept.offset : kept.offset + len(kept) + 1]
+            whole = np.frombuffer(kept.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint64)
+            size = np.diff(ends) // 8
+            row = np.repeat(np.arange(len(size)), size)
+            place = first[row] + np.arange(len(row)) - ((ends[:-1] - ends[0]) // 8)[row]
+            m = len(held)
+            key, doc, whole = np.r_[np.full(m, key[0]), key[row]], np.r_[held_doc, doc[row]], np.r_[held, whole]
+            order = np.lexsort((whole, key))
+            k, w = key[order], whole[order]
+            begin = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (w[1:] != w[:-1])])
+            source = np.empty(len(order), np.int64)
+            source[order] = np.repeat(order[begin], np.diff(np.r_[begin, len(order)]))
+            again = np.flatnonzero(source != np.arange(len(order)))
+            if len(again):
+                spans = _spans(doc[again], place[again - m], doc[source[again]], length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in spans], names=names)
+            distinct = order[begin]
+            distinct = distinct[key[distinct] == last]
+            held, held_doc = whole[distinct], doc[distinct]
 
     return run
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
+def crowded_keys(docs: DataFrame, length: int, anchor: int, block: int, crowd: int) -> np.ndarray:
+    """The keys, sorted, that have more than ``crowd`` distinct windows, estimated from a share of the documents."""
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    runs = sample.mapInArrow(_runs(length, anchor, block, np.zeros(0, np.uint64)), RUNS).where("windows is not null")
+    many = runs.groupBy("key").agg(F.sum(F.octet_length("windows")).alias("n")).where(F.col("n") > 8 * crowd / SAMPLE)
+    return np.sort(np.array([r["key"] for r in many.select("key").collect()], np.int64).view(np.uint64))
+
+
+def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """(doc_id, first_word, end_word, n_words, source_doc_id): the spans of ``length`` words or more that occur before.
 
     Every window of ``length`` normalised words whose equal occurs in a document of a smaller doc_id, or earlier in
     its own, belongs to a span; ``source_doc_id`` is a document that holds the start of the span earlier. The first
-    occurrence is never marked. Words are counted from 0. Defined results: a null doc_id, a null text and a text of
-    fewer than ``length`` words have no spans; very long texts are read whole; rows that repeat a doc_id count as one document, the one of the
-    smallest text; an empty table gives no rows; other columns are not read.
+    occurrence is never marked. Words are counted from 0. Spans of a document don't touch. Defined results: a null
+    doc_id, a null text and a text of fewer than ``length`` words have no spans; very long texts are read whole; rows
+    that repeat a doc_id count as one document, the one of the smallest text; an empty table gives no rows; other
+    columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     if repeated_ids(docs):
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    same = Window.partitionBy("hash")
-    found = docs.mapInArrow(_anchors(length, anchor), "hash long, doc_id long, pos int")
-    again = scratch.table(found.withColumn("n", F.count("*").over(same)).where("n > 1").drop("n"), "anchors")
-
-    in_doc = Window.partitionBy("doc_id").orderBy("pos", "hash")
-    gap = F.col("pos") - F.lag("pos").over(in_doc)
-    marked = again.withColumn("new", F.when(gap <= 2 * length - anchor, 0).otherwise(1)).withColumn("segment", F.sum("new").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    named = scratch.table(marked.select("hash", "doc_id", "pos", F.xxhash64("doc_id", "segment").alias("seg")), "named")
-    edges = named.select("hash", "seg").distinct().withColumn("a", F.min("seg").over(same)).where("a <> seg").select("a", F.col("seg").alias("b")).distinct()
-    comps = components(scratch.table(edges, "edges"), scratch).select(F.col("id").alias("seg"), F.col("root").alias("comp"))
-    segments = named.groupBy("doc_id", "seg").agg((F.min("pos") - (length - anchor)).alias("first"), (F.max("pos") + length).alias("end"))
-    segments = checked_join(segments, comps, "seg", "left").select("doc_id", F.struct(F.coalesce("comp", "seg").alias("comp"), "first", "end").alias("s"))
-    by_doc = scratch.table(segments.groupBy("doc_id").agg(F.collect_list("s").alias("segments")), "segments")
-    parts = checked_join(docs, by_doc, "doc_id", "inner").select("doc_id", "text", "segments").mapInArrow(_extract, "comp long, doc_id long, first int, words binary")
-    spans = parts.repartition("comp").sortWithinPartitions("comp", "doc_id", "first").mapInArrow(_marker(length, block), SPANS)
-    return scratch.keep(spans)
+    runs = docs.mapInArrow(_runs(length, anchor, block, crowded_keys(docs, length, anchor, block, crowd)), RUNS)
+    found = runs.repartition("key").sortWithinPartitions("key", "doc_id", "first_word").mapInArrow(_repeated(length), FOUND)
+    in_doc = Window.partitionBy("doc_id").orderBy("first_word", "end_word", "source_doc_id")
+    reach = F.max("end_word").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
+    marked = found.withColumn("new", F.when(F.col("first_word") <= reach, 0).otherwise(1))
+    marked = marked.withColumn("span", F.sum("new").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = marked.groupBy("doc_id", "span").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.max(F.when(F.col("new") == 1, F.col("source_doc_id"))).alias("source_doc_id"))
+    return scratch.keep(spans.select("doc_id", "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "source_doc_id"))
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:

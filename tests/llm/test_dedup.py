@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -238,6 +239,18 @@ def test_repeat_cases(spark, docs, make_prose, extra):
     assert repeats.find_repeats(d.limit(0)).count() == 0
 
 
+def test_repeats_of_one_component(spark, docs, make_prose):
+    """Passages that join all documents are no one task's; compared block by block, this component took minutes."""
+    passages = [make_prose(60) for _ in range(1500)]
+    rows = [(i, " ".join([passages[i % 1500], make_prose(40), passages[i * 7 % 1500], make_prose(40), passages[(i + 1) % 1500]])) for i in range(3000)]
+    began = time.monotonic()
+    left = {r["doc_id"]: words_of(r["text"]) for r in repeats.drop_repeats(docs(rows), block=700).collect()}
+    assert time.monotonic() - began < 60
+    spans = brute_spans(rows, repeats.LENGTH)
+    for i, t in rows:
+        assert left.get(i, []) == [x for k, x in enumerate(words_of(t)) if not any(a <= k < b for a, b in spans.get(i, []))]
+
+
 # -- embeddings
 
 
