@@ -251,6 +251,19 @@ def test_repeats_of_one_component(spark, docs, make_prose):
         assert left.get(i, []) == [x for k, x in enumerate(words_of(t)) if not any(a <= k < b for a, b in spans.get(i, []))]
 
 
+def test_repeats_beside_a_common_phrase(spark, docs, make_prose):
+    """A phrase that every document has in other text crowds its keys: their windows are dealt one by one, with the same result."""
+    phrase, passage = make_prose(40), make_prose(60)
+    rows = [(i, " ".join([make_prose(30), phrase, make_prose(30), passage if i % 5 == 0 else make_prose(10)])) for i in range(600)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 600, 50)]
+    d = docs(rows)
+    keys = repeats.crowded_keys(d, repeats.LENGTH, repeats.ANCHOR, repeats.BLOCK, 300)
+    assert len(keys) and (np.diff(keys.astype(object)) > 0).all()
+    for crowd in (300, repeats.CROWD):
+        got = repeats.find_repeats(d, crowd=crowd).collect()
+        assert sorted((r["doc_id"], r["first_word"], r["end_word"]) for r in got) == sorted((i, a, b) for i, x in brute_spans(rows, repeats.LENGTH).items() for a, b in x)
+
+
 # -- embeddings
 
 
