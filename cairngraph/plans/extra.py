@@ -21,7 +21,7 @@ _PART = "CASE WHEN unit_type IN ('function', 'trait') THEN concat('part/', CAST(
 def by_part(g: CodeGraph) -> CodeGraph:
     """The graph with each part in a file of its own, that of the change log."""
     path = F.when(F.col("unit_type").isin("function", "trait"), F.concat(F.lit("part/"), (F.col("id") - 100_000_000).cast("string"))).otherwise(F.col("file_path"))
-    return CodeGraph(g.units.withColumn("file_path", path), g.edges)
+    return g.with_units(g.units.withColumn("file_path", path))
 
 
 def _archaeology(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def register(r: Registry) -> None:
           UNION ALL SELECT unit_type, '*_' || split_part(name, '_', -1) FROM units WHERE starts_with(file_path, 'Brand#1') AND unit_type IN ('function', 'type') AND contains(name, '_') AND strlen(split_part(name, '_', -1)) >= 4) x GROUP BY ALL HAVING count(*) >= 3) y GROUP BY pattern ORDER BY n DESC, pattern LIMIT 5""", U))
     r.add("foreign_calls", g(lambda x: infer.foreign_calls(x.units.select(F.col("id").alias("unit_id"), F.regexp_replace(F.regexp_replace("name", "bolt$", "ctypes_load"), "ring$", "http_get").alias("name")))), oracle("unit_id:l name:s via:s", """
         SELECT * FROM (SELECT unit_id, name, CASE WHEN contains(name, 'ctypes') THEN 'ctypes' WHEN contains(name, 'http') THEN 'http' END AS via FROM (SELECT id AS unit_id, regexp_replace(regexp_replace(name, 'bolt$', 'ctypes_load'), 'ring$', 'http_get') AS name FROM units) x) y WHERE via IS NOT NULL""", U))
-    r.add("risky_names", g(lambda x: insights.omniscience_vuln(CodeGraph(x.units.withColumn("name", F.regexp_replace(F.regexp_replace("name", "bolt$", "shell_exec"), "ring$", "inject_sql")), x.edges))), oracle("id:l name:s keyword:s severity:s", """
+    r.add("risky_names", g(lambda x: insights.omniscience_vuln(x.with_units(x.units.withColumn("name", F.regexp_replace(F.regexp_replace("name", "bolt$", "shell_exec"), "ring$", "inject_sql"))))), oracle("id:l name:s keyword:s severity:s", """
         SELECT id, name, CASE WHEN contains(name, 'exec') THEN 'exec' ELSE 'sql' END AS keyword, CASE WHEN contains(name, 'exec') THEN 'high' ELSE 'medium' END AS severity FROM (SELECT id, regexp_replace(regexp_replace(name, 'bolt$', 'shell_exec'), 'ring$', 'inject_sql') AS name FROM units) x WHERE contains(name, 'exec') OR contains(name, 'sql')""", U))
 
     # -- vectors
