@@ -139,21 +139,32 @@ def design_patterns(units: DataFrame) -> DataFrame:
 
 
 def _concept_rows(units: DataFrame, table: dict[str, str], both: bool, bonus: float, least: float, strict: bool) -> DataFrame:
-    name, qname, doc = _low("name"), _low("qualified_name"), _low("doc_summary")
-    known = F.col("unit_type").isin("function", "type")
-    scores = []
-    for concept, words in table.items():
-        s = F.lit(0.0)
-        for w in words.split():
-            if both:
-                s = s + F.when(name.contains(w), 0.4).otherwise(0.0) + F.when(qname.contains(w), 0.2).otherwise(0.0)
-            else:
-                s = s + F.when(name.contains(w), 0.4).when(qname.contains(w), 0.2).otherwise(0.0)
-            s = s + F.when(doc.contains(w), 0.15).otherwise(0.0)
-        typical = F.col("unit_type").isin("test", "function") if concept == "Testing" and not both else known
-        s = s + F.when(typical, bonus).otherwise(0.0)
-        scores.append(F.struct(F.lit(concept).alias("concept"), F.round(s, 9).alias("score")))
-    rows = units.select("id", F.inline(F.array(*scores)))
+    """(concept, id, score), of the concepts of which a unit has a word: those words are found first, in all of its texts at
+    once, and only they are scored. One expression for all words, as code for each would be too long to be compiled."""
+    if bonus >= least:
+        raise S.QueryError("units without a word would count")
+    words = F.array(*[F.struct(F.lit(c).alias("concept"), F.lit(w).alias("word")) for c, ws in table.items() for w in ws.split()])
+    u = units.select("id", "unit_type", _low("name").alias("n"), _low("qualified_name").alias("q"), _low("doc_summary").alias("d"))
+    name, qname, doc = F.col("n"), F.col("q"), F.col("d")
+    text = F.concat_ws("\n", name, qname, doc)
+    hit = u.select("id", "unit_type", "n", "q", "d", F.filter(words, lambda x: text.contains(x["word"])).alias("hits")).where(F.size("hits") > 0)
+
+    def points(w: Column) -> Column:
+        named = F.when(name.contains(w), 0.4)
+        if both:
+            s = named.otherwise(0.0) + F.when(qname.contains(w), 0.2).otherwise(0.0)
+        else:
+            s = named.when(qname.contains(w), 0.2).otherwise(0.0)
+        return s + F.when(doc.contains(w), 0.15).otherwise(0.0)
+
+    def score(c: Column) -> Column:
+        typical = F.col("unit_type").isin("function", "type")
+        typical = typical if both else F.when(c == "Testing", F.col("unit_type").isin("test", "function")).otherwise(typical)
+        s = F.aggregate("hits", F.lit(0.0), lambda a, x: a + F.when(x["concept"] == c, points(x["word"])).otherwise(0.0))
+        return F.round(s + F.when(typical, bonus).otherwise(0.0), 9)
+
+    concepts = F.array_distinct(F.transform("hits", lambda x: x["concept"]))
+    rows = hit.select("id", F.inline(F.transform(concepts, lambda c: F.struct(c.alias("concept"), score(c).alias("score")))))
     return rows.where(F.col("score") > least if strict else F.col("score") >= least).select("concept", "id", F.least(F.lit(1.0), "score").alias("score"))
 
 
