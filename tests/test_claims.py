@@ -60,3 +60,29 @@ def test_claims_make_no_edges(spark, sf, tmp_path):
     g = projection.Projected(spark, sf, f"file:{tmp_path}/g")
     analytics._cut_names(g).units.count()
     assert g._done == {"units"}
+
+
+def test_more_out_edges_than_the_limit(spark, monkeypatch):
+    """The limit on out-edges is the builder's; a query of bad edges may ask for none."""
+    from cairngraph.functions import schema as S
+    from cairngraph.graph import CodeGraph
+
+    n = S.MAX_OUT_EDGES + 5
+    units = spark.range(n + 1).selectExpr("id", "'x' AS name")
+    edges = spark.range(1, n + 1).selectExpr("0L AS source_id", "id AS target_id", "'calls' AS edge_type", "1D AS weight", "0L AS created_at", "0 AS context", "1L AS edge_ord")
+    g = CodeGraph(units, edges)
+    assert g.rejected_edges().count() == 5 and g.rejected_edges(None).count() == 0
+    assert g.build(strict=False, max_out=None).edges.count() == n
+
+
+def test_many_plain_ignore_rules(spark):
+    """Rules without wildcards are looked up; with them, anchored, of folders and taken back, they leave out what each pattern says."""
+    from cairngraph.sources import scan
+
+    lines = ["*.rs", "/top", "a/b.txt", "name.x", "dir/", "!keep.rs", "sp ace-1.y", "[ab].z", "!/in/a.z", "q+.w", "**/m/n"]
+    paths = ["/r/a.rs", "/r/keep.rs", "/r/in/keep.rs", "/r/top", "/r/in/top", "/r/top/x", "/r/a/b.txt", "/r/c/a/b.txt", "/r/in/name.x", "/r/name.xx", "/r/dir", "/r/dir/f", "/r/u/dir/f", "/r/sp ace-1.y", "/r/in/a.z", "/r/b.z", "/s/a.rs", "/r/q+.w", "/r/qq.w", "/r/k/m/n", "/r/m/n/o"]
+    rules = scan.ignore_rules(spark.createDataFrame([("/r/.gitignore", bytearray("\n".join(lines).encode()))], "path string, content binary"))
+    plain = rules.where(f"regexp_extract(rule, r'{scan.PLAIN}', 2) <> ''").count()
+    got = {r["path"] for r in scan.ignored(spark.createDataFrame([(p,) for p in paths], "path string"), rules).collect()}
+    assert plain == 8
+    assert got == {"/r/a.rs", "/r/top", "/r/top/x", "/r/a/b.txt", "/r/in/name.x", "/r/dir/f", "/r/u/dir/f", "/r/sp ace-1.y", "/r/b.z", "/r/q+.w", "/r/k/m/n", "/r/m/n/o"}
